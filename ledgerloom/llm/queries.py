@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import language, mixing, nearcopies, neighbours, packing, personal, quality, sharding, tokencount
+from ledgerloom.llm import language, mixing, nearcopies, neighbours, packing, personal, quality, repeats, sharding, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
     "op6_personal_data": op6_personal_data,
