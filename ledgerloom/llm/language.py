@@ -145,24 +145,21 @@ def fit_languages(docs: DataFrame, held_out) -> Model:
     return fit(bits, [r["lang"] for r in rows])
 
 
-def _predict(model: Model, together: int = 256):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(FEATURES, bool)
-        for batch in batches:
-            data, starts = utf8(batch.column("text"))
-            known, score = [], []
-            for a in range(0, batch.num_rows, together):
-                rows = range(a, min(a + together, batch.num_rows))
-                letters = [model.languages and has_letter(bytes(data[starts[i] : starts[i + 1]]).decode("utf-8", "replace")) for i in rows]
-                sets = [present(data[starts[i] : starts[i + 1]], flags) if yes else np.zeros(0, int) for i, yes in zip(rows, letters)]
-                found = model.scores(sets) if model.languages else np.zeros((len(sets), 1))
-                best = found.argmax(1)
-                known += [model.languages[k] if yes else UNKNOWN for k, yes in zip(best, letters)]
-                score += [float(min(1.0, max(0.0, row[k]))) if yes else 0.0 for row, k, yes in zip(found, best, letters)]
-            others = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in others], pa.array(known, pa.string()), pa.array(score, pa.float64())], [*others, "lang_pred", "score"])
-
-    return run
+def predict(model: Model, column: pa.Array, together: int = 256) -> tuple[list[str], list[float]]:
+    """Language and score of each text of a column, scored ``together`` at a time."""
+    flags = np.zeros(FEATURES, bool)
+    data, starts = utf8(column)
+    known: list[str] = []
+    score: list[float] = []
+    for a in range(0, len(column), together):
+        rows = [data[starts[i] : starts[i + 1]] for i in range(a, min(a + together, len(column)))]
+        letters = [bool(model.languages) and has_letter(bytes(text).decode("utf-8", "replace")) for text in rows]
+        found = model.scores([present(text, flags) if yes else np.zeros(0, int) for text, yes in zip(rows, letters)])
+        for line, yes in zip(found, letters):
+            best = int(line.argmax()) if yes else -1
+            known.append(model.languages[best] if yes else UNKNOWN)
+            score.append(float(min(1.0, max(0.0, line[best]))) if yes else 0.0)
+    return known, score
 
 
 def held_out_rows():
@@ -179,5 +176,27 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text", "lang")
     model = fit_languages(docs, held_out_rows())
-    out = docs.select("doc_id", held_out_rows().alias("held_out"), "text").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known, score = predict(model, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+
+    return docs.select("doc_id", held_out_rows().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.2) -> DataFrame:
+    """The rows of ``docs``, with all columns, that are in a learned language with a score of ``least`` or more.
+
+    A missing ``lang`` becomes the language found.
+    """
+    model = fit_languages(docs, held_out_rows())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known, score = predict(model, batch.column("text"))
+            lang = [old or new for old, new in zip(batch.column("lang").to_pylist(), known)]
+            kept = pa.array([k != UNKNOWN and s >= least for k, s in zip(known, score)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()) if n == "lang" else batch.column(n) for n in batch.schema.names], batch.schema.names).filter(kept)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.bytewise import word_counts
 from ledgerloom.llm.staging import stage
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Ranges of keys within a source; each is sorted and summed by itself, so that a hot source is no single task.
 RANGES = 1024
 
@@ -90,6 +92,40 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tupl
     return placed.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
 
 
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row as often as its words are taken whole, and once more cut after the words that are left."""
+    for batch in batches:
+        names = [n for n in batch.schema.names if n not in ("__size", "__taken")]
+        kept, texts = [], []
+        for row, (size, taken) in enumerate(zip(batch.column("__size").to_pylist(), batch.column("__taken").to_pylist())):
+            text = batch.column("text")[row].as_py()
+            whole, rest = divmod(taken, size) if size else (0, 0)
+            kept += [row] * (whole + (rest > 0))
+            texts += [text] * whole + ([_cut(text, rest)] if rest else [])
+        taken = batch.select(names).take(pa.array(kept, pa.int64()))
+        fresh = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
+        yield pa.RecordBatch.from_arrays([fresh.get(n, taken.column(n)) for n in names], names)
+
+
+def _cut(text: str, words: int) -> str:
+    """The text up to the end of its so-manieth word."""
+    for k, m in enumerate(_WORD.finditer(text), 1):
+        if k == words:
+            return text[: m.end()]
+    return text
+
+
+def mixed_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each time that a document is taken.
+
+    Only the document at which a source's budget ends is cut. Rows without doc_id stay as they are, rows that repeat one
+    are each taken as often as the one of them that the mix takes most.
+    """
+    taken = mix_sources(docs.where(F.col("doc_id").isNotNull()), quality).groupBy("doc_id").agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
+    joined = docs.join(taken, "doc_id").select(*docs.columns, "__size", "__taken")
+    return joined.mapInArrow(_copies, docs.schema).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 ORACLE = r"""
 WITH votes AS (SELECT doc_id, avg(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 sized AS (

@@ -7,7 +7,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bytewise import mix, shingle_sets
@@ -191,6 +191,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its class's smallest, with all columns; rows without doc_id stay."""
+    """One row, with all columns, for the smallest doc_id of each class; of rows that repeat it, the first by text.
+
+    Rows without doc_id stay.
+    """
     first = near_copies(docs).where("doc_id = class_id").select("doc_id")
-    return docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").select(*docs.columns)
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in ("text", "source", "lang") if c in docs.columns]))
+    return kept.withColumn("__turn", turn).where("__turn = 1").drop("__turn").unionByName(docs.where(F.col("doc_id").isNull()))
