@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one vectorised step may hold; its work arrays take about 60 times as much.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _RNG = np.random.default_rng(20240607)
 #: A random 64-bit value for each byte value, and a random odd multiplier: the word hash is a polynomial over them.

@@ -22,7 +22,7 @@ STEP, MOST = 32, 128
 #: A pair goes when the posterior probability of reaching the threshold is below this.
 TOLERANCE = 1e-6
 #: Shingles of a block of documents: a task holds two blocks.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 500_000
 
 _MULTIPLIERS = np.random.default_rng(77).integers(0, 2**63, max(MOST, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

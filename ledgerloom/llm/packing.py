@@ -21,7 +21,7 @@ LEAST_PIECE = 32
 #: Ranges of documents whose pieces are numbered by themselves.
 RANGES = 512
 #: Distinct words whose ids a Python worker keeps; beyond it, words are encoded again each time.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 
 _SPLIT_WRONG = re.compile(r"\s (?:\s|\Z)")
 

@@ -15,7 +15,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: What stands for the space before a word in the vocabulary file.
 MARK = "▁"
 #: Text characters whose distinct pre-tokens share one trie, and pre-tokens whose counts a worker keeps.
-TOGETHER, KEPT = 8_000_000, 400_000
+TOGETHER, KEPT = 2_000_000, 200_000
 
 
 def unigram_scores(path: str) -> dict[str, float]:
