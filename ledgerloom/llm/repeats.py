@@ -22,7 +22,7 @@ LENGTH, SEED = 200, 40
 #: Most bytes before a seed, and after it, that a string of LENGTH around it has.
 SIDE = LENGTH - SEED
 #: Texts longer than this are searched in pieces that overlap by LENGTH - 1 bytes.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 _PLACE_BITS = 21
 #: Bytes by which suffixes are sorted before blind tries take over.
 SHALLOW = 16
@@ -31,7 +31,7 @@ SHALLOW = 16
 FILTER_BITS, SLICES = 1 << 27, 64
 _SLICE_BITS = FILTER_BITS // SLICES
 #: Anchors of one seed that a task compares with as many others; rows that are sorted together.
-CELL_ROWS, TOGETHER = 100_000, 20_000
+CELL_ROWS, TOGETHER = 20_000, 8_000
 
 _BYTE_VALUE = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
