@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.stats import ratio
 
-BY_DATE = Window.partitionBy("security_id").orderBy("date")
+def by_date() -> Window:
+    return Window.partitionBy("security_id").orderBy("date")
 
 
 def rows(n: int) -> Window:
-    return BY_DATE.rowsBetween(1 - n, 0)
+    return by_date().rowsBetween(1 - n, 0)
 
 
 def gated(value: Column, n: int, of: str = "close") -> Column:
@@ -23,7 +24,7 @@ def sma(n: int, of: str = "close") -> Column:
 
 
 def roc(n: int) -> Column:
-    return ratio(F.col("close"), F.lag("close", n).over(BY_DATE)) - 1
+    return ratio(F.col("close"), F.lag("close", n).over(by_date())) - 1
 
 
 def bollinger_width(n: int, k: float) -> Column:
@@ -31,7 +32,7 @@ def bollinger_width(n: int, k: float) -> Column:
 
 
 def daily_return() -> Column:
-    return ratio(F.col("close"), F.lag("close").over(BY_DATE)) - 1
+    return ratio(F.col("close"), F.lag("close").over(by_date())) - 1
 
 
 def realised_vol(returns: str, n: int, year: int = 252) -> Column:
@@ -39,13 +40,13 @@ def realised_vol(returns: str, n: int, year: int = 252) -> Column:
 
 
 def true_range() -> Column:
-    before = F.lag("close").over(BY_DATE)
+    before = F.lag("close").over(by_date())
     return F.when(before.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
 def updown_volume(n: int) -> Column:
     """Volume of sessions that closed higher by that of sessions that closed lower, over n moves."""
-    move = F.col("close") - F.lag("close").over(BY_DATE)
+    move = F.col("close") - F.lag("close").over(by_date())
     signed = F.when(move > 0, F.col("volume")).otherwise(0.0), F.when(move < 0, F.col("volume")).otherwise(0.0)
     return signed[0], signed[1]
 
@@ -110,15 +111,15 @@ def weekly_closes(bars: DataFrame) -> DataFrame:
 
 def swing_pivots(w: int) -> tuple[Column, Column]:
     """Whether a bar is the first highest high, and the first lowest low, of the w bars on either side."""
-    around, before = BY_DATE.rowsBetween(-w, w), BY_DATE.rowsBetween(-w, -1)
+    around, before = by_date().rowsBetween(-w, w), by_date().rowsBetween(-w, -1)
     whole = F.count("*").over(around) == 2 * w + 1
     return whole & (F.max("high").over(around) == F.col("high")) & (F.max("high").over(before) < F.col("high")), whole & (F.min("low").over(around) == F.col("low")) & (F.min("low").over(before) > F.col("low"))
 
 
 def gap_zones(bars: DataFrame, least_pct: float) -> DataFrame:
     """Gaps of at least so many percent that no later bar has filled: side, from, to."""
-    later = BY_DATE.rowsBetween(1, Window.unboundedFollowing)
-    seen = bars.select("security_id", "date", F.lag("high").over(BY_DATE).alias("high_before"), F.lag("low").over(BY_DATE).alias("low_before"), "high", "low", F.min("low").over(later).alias("later_low"), F.max("high").over(later).alias("later_high"))
+    later = by_date().rowsBetween(1, Window.unboundedFollowing)
+    seen = bars.select("security_id", "date", F.lag("high").over(by_date()).alias("high_before"), F.lag("low").over(by_date()).alias("low_before"), "high", "low", F.min("low").over(later).alias("later_low"), F.max("high").over(later).alias("later_high"))
     up = (F.col("low") - F.col("high_before")) / F.col("high_before") * 100 >= least_pct
     down = (F.col("low_before") - F.col("high")) / F.col("low_before") * 100 >= least_pct
     open_up = up & F.coalesce(F.col("later_low") > F.col("high_before"), F.lit(True))
@@ -130,14 +131,14 @@ def gap_zones(bars: DataFrame, least_pct: float) -> DataFrame:
 def big_moves(bars: DataFrame, times: float = 2.0, n: int = 20) -> DataFrame:
     """Moves beyond so many sample deviations of the n moves before."""
     moved = bars.withColumn("move", daily_return())
-    before = BY_DATE.rowsBetween(-n, -1)
+    before = by_date().rowsBetween(-n, -1)
     limits = moved.select("security_id", "date", "move", F.stddev_samp("move").over(before).alias("sd"), F.count("move").over(before).alias("n"))
     return limits.where((F.col("n") == n) & (F.abs("move") > times * F.col("sd"))).select("security_id", "date", "move", "sd")
 
 
 def breaks(bars: DataFrame, n: int = 252, volume_times: float = 2.5, volume_n: int = 20) -> DataFrame:
     """Closes beyond the range of the n sessions before, on volume above a multiple of the mean."""
-    before, recent = BY_DATE.rowsBetween(-n, -1), BY_DATE.rowsBetween(-volume_n, -1)
+    before, recent = by_date().rowsBetween(-n, -1), by_date().rowsBetween(-volume_n, -1)
     seen = bars.select("security_id", "date", "close", "volume", F.max("high").over(before).alias("top"), F.min("low").over(before).alias("bottom"), F.count("*").over(before).alias("n"), F.avg("volume").over(recent).alias("usual"))
     side = F.when(F.col("close") > F.col("top"), "high").when(F.col("close") < F.col("bottom"), "low")
     return seen.withColumn("side", side).where((F.col("n") == n) & F.col("side").isNotNull() & (F.col("volume") > volume_times * F.col("usual"))).select("security_id", "date", "side", "close", "volume")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.plans.registry import table
 
-UNIT = F.col("l_extendedprice") / F.col("l_quantity")
+def _unit():
+    return F.col("l_extendedprice") / F.col("l_quantity")
 
 
 def _decimal(name: str):
@@ -19,7 +20,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("date"), "l_extendedprice", "l_quantity")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("security_id"))
     close = F.sum(_decimal("l_extendedprice")).cast("double") / F.sum(_decimal("l_quantity")).cast("double")
-    daily = lines.join(parts, "l_partkey").groupBy("security_id", "date").agg(close.alias("close"), F.max(UNIT).alias("high"), F.min(UNIT).alias("low"), F.sum(_decimal("l_quantity")).cast("double").alias("volume"))
+    daily = lines.join(parts, "l_partkey").groupBy("security_id", "date").agg(close.alias("close"), F.max(_unit()).alias("high"), F.min(_unit()).alias("low"), F.sum(_decimal("l_quantity")).cast("double").alias("volume"))
     return daily.withColumn("open", F.coalesce(F.lag("close").over(Window.partitionBy("security_id").orderBy("date")), F.col("close")))
 
 

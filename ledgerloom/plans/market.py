@@ -32,7 +32,7 @@ def _last(df: DataFrame) -> DataFrame:
 )
 def scr_relative_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = bars(spark, sf_dir).join(benchmark(spark, sf_dir), "date").withColumn("ratio", F.col("close") / F.col("benchmark"))
-    seen = _last(joined.withColumns({"sma": ta.sma(20), "change": ratio(F.col("ratio"), F.lag("ratio", 20).over(ta.BY_DATE)) - 1})).where("sma is not null")
+    seen = _last(joined.withColumns({"sma": ta.sma(20), "change": ratio(F.col("ratio"), F.lag("ratio", 20).over(ta.by_date())) - 1})).where("sma is not null")
     ranked = seen.select("security_id", "date", (100 * (F.col("close") / F.col("sma") - 1)).alias("price_vs_sma"), mid_rank(F.col("change")).alias("rs_percentile"))
     return ranked.where("price_vs_sma > 0 and rs_percentile >= 50").select("security_id", "date", r6(F.col("price_vs_sma")).alias("price_vs_sma"), r6(F.col("rs_percentile")).alias("rs_percentile"))
 
