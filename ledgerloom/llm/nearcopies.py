@@ -123,8 +123,9 @@ def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray |
 
 def _cell(table: pa.Table) -> pa.Table:
     """Links within one cell: each document's number of linked documents, and the smallest document of its cluster."""
-    order = np.argsort(table["node"].to_numpy(), kind="stable")
-    table = table.take(pa.array(order))
+    # rows that repeat a document count once
+    first = {key: i for i, key in reversed(list(enumerate(zip(table["node"].to_pylist(), (s.as_py() for s in table["shingles"])))))}
+    table = table.take(pa.array(sorted(first.values(), key=lambda i: table["node"][i].as_py())))
     node, copies, block = (table[c].to_numpy() for c in ("node", "copies", "block"))
     sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table["shingles"]]
     x, y = table["x"][0].as_py(), table["y"][0].as_py()
