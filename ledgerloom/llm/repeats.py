@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ SHALLOW = 16
 FILTER_BITS, SLICES = 1 << 27, 64
 _SLICE_BITS = FILTER_BITS // SLICES
 #: Anchors of one seed that a task compares with as many others; rows that are sorted together.
-CELL_ROWS, TOGETHER = 20_000, 8_000
+CELL_ROWS, TOGETHER = 40_000, 8_000
 
 _BYTE_VALUE = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -118,12 +119,17 @@ def _filter_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _contexts(flags):
-    """Surroundings of the anchors whose seed may be repeated, once for each text of a partition."""
+    """Surroundings of the anchors whose seed may be repeated, once for each text of a partition.
+
+    Surroundings that a partition meets a third time are repeated whole: those rows have no bytes, only their extent, and
+    are compared with nothing. The first two stand for them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(flags.value, np.uint8)
         seen: set[bytes] = set()
-        names = ["seed", "text_id", "place", "before", "bytes"]
+        met: dict[bytes, int] = {}
+        names = ["seed", "text_id", "place", "before", "after", "bytes"]
         for batch in batches:
             data, starts = utf8(batch.column(0))
             fresh: dict[int, bytes] = {}
@@ -145,10 +151,13 @@ def _contexts(flags):
                 # the surroundings come from the whole text: a piece may end sooner
                 here = starts[rows[k]] + place - at[k] + first[k]
                 a, b = np.maximum(starts[rows[k]], here - SIDE), np.minimum(starts[rows[k] + 1], here + LENGTH)
-                ends = np.concatenate(([0], np.cumsum(b - a)))
-                taken = data[np.arange(ends[-1]) + np.repeat(a - ends[:-1], b - a)]
-                strings = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(taken)])
-                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array([fresh[r] for r in rows[k].tolist()], pa.binary()), pa.array(here - starts[rows[k]]), pa.array(here - a), strings], names)
+                strings: list[bytes | None] = []
+                for lo, hi, at_seed in zip(a.tolist(), b.tolist(), here.tolist()):
+                    own = bytes(data[lo:hi])
+                    key = hashlib.md5(b"%d " % (at_seed - lo) + own, usedforsecurity=False).digest()
+                    met[key] = met.get(key, 0) + 1
+                    strings.append(own if met[key] <= 2 else None)
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array([fresh[r] for r in rows[k].tolist()], pa.binary()), pa.array(here - starts[rows[k]]), pa.array(here - a), pa.array(b - here), pa.array(strings, pa.binary())], names)
 
     return run
 
@@ -282,7 +291,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     rows = 0
 
-    def spans(table: pa.Table) -> pa.RecordBatch:
+    def spans(table: pa.Table) -> list[pa.RecordBatch]:
+        whole = pc.is_null(table["bytes"])
+        given, table = table.filter(whole), table.filter(pc.invert(whole))
+        first, last = given["place"].to_numpy() - given["before"].to_numpy(), given["place"].to_numpy() + given["after"].to_numpy()
+        known = pa.RecordBatch.from_arrays([given["text_id"].combine_chunks(), pa.array(first), pa.array(last)], ["text_id", "a", "b"])
+        return pa.Table.from_batches([known, compared(table)]).combine_chunks().to_batches()
+
+    def compared(table: pa.Table) -> pa.RecordBatch:
         keys = [table[c].to_numpy() for c in ("seed", "x", "y")]
         step = np.zeros(table.num_rows, bool)
         for k in keys:
@@ -293,8 +309,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[tuple, int] = {}
         for i, key in enumerate(zip(group.tolist(), texts, place.tolist())):
             first.setdefault(key, i)
-        own = np.array(list(first.values()))
-        count = np.bincount(group[own])
+        own = np.array(list(first.values()), np.int64)
+        count = np.bincount(group[own], minlength=1)
         own = own[count[group[own]] > 1]
         if not len(own):
             return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.int64()), pa.array([], pa.int64())], ["text_id", "a", "b"])
@@ -316,7 +332,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 differs |= k != k[-1]
             end = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
         if end:
-            yield spans(table.slice(0, end))
+            yield from spans(table.slice(0, end))
         held = table.slice(end).combine_chunks().to_batches()
         rows = table.num_rows - end
 
@@ -355,11 +371,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     for r in parts:
         flags[r["slice"]] |= np.frombuffer(r["bits"], np.uint8)
     sent = spark.sparkContext.broadcast(flags.tobytes())
-    found = texts.mapInArrow(_contexts(sent), "seed long, text_id binary, place long, before long, bytes binary")
+    found = texts.mapInArrow(_contexts(sent), "seed long, text_id binary, place long, before long, after long, bytes binary")
+    # rows without bytes need no partner and go anywhere
+    found = found.withColumn("seed", F.when(F.col("bytes").isNull(), F.xxhash64("text_id", "place")).otherwise(F.col("seed")))
     large = stage(repeated.where(F.col("n") > CELL_ROWS).select("seed", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("blocks")), "hot-seeds")
-    blocks = F.coalesce("blocks", F.lit(1))
-    found = found.join(large, "seed", "left").withColumn("block", F.pmod(F.xxhash64("text_id", "place"), blocks).cast("int"))
-    cells = found.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("seed", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "text_id", "place", "before", "bytes")
+    blocks = F.when(F.col("bytes").isNull(), 1).otherwise(F.coalesce("blocks", F.lit(1)))
+    found = found.join(large, "seed", "left").withColumn("blocks", blocks)
+    # equal surroundings meet in one block
+    found = found.withColumn("block", F.pmod(F.xxhash64("before", "bytes"), F.col("blocks")).cast("int"))
+    cells = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("seed", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "text_id", "place", "before", "after", "bytes")
     return cells.repartition("seed", "x", "y").sortWithinPartitions("seed", "x", "y").mapInArrow(_compare, "text_id binary, a long, b long")
 
 
