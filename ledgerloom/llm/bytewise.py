@@ -39,6 +39,22 @@ def chunks(data: np.ndarray, starts: np.ndarray, most: int = CHUNK_BYTES) -> Ite
         row = end
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = 2 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of whole rows of about ``most`` bytes of ``text`` (a longer row alone).
+
+    Python objects, and what goes back to the JVM, then grow with a part and not with a batch; freed Arrow memory is
+    handed back to the system after each batch.
+    """
+    for batch in batches:
+        _, starts = utf8(batch.column("text"))
+        row, rows = 0, batch.num_rows
+        while row < rows:
+            end = max(row + 1, int(np.searchsorted(starts, starts[row] + most, "right")) - 1)
+            yield batch.slice(row, end - row)
+            row = end
+        pa.default_memory_pool().release_unused()
+
+
 def _word_starts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     letters = ~_IS_SPACE[data]
     fresh = letters.copy()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.bytewise import utf8
+from ledgerloom.llm.bytewise import slices, utf8
 
 #: Byte n-grams of these lengths are features: pairs by themselves, longer ones by a hash of as many values.
 LENGTHS = (2, 3, 4)
@@ -178,7 +178,7 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     model = fit_languages(docs, held_out_rows())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             known, score = predict(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -193,7 +193,7 @@ def keep_identified(docs: DataFrame, least: float = 0.2) -> DataFrame:
     model = fit_languages(docs, held_out_rows())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             known, score = predict(model, batch.column("text"))
             lang = [old or new for old, new in zip(batch.column("lang").to_pylist(), known)]
             kept = pa.array([k != UNKNOWN and s >= least for k, s in zip(known, score)], pa.bool_())

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.bytewise import word_counts
+from ledgerloom.llm.bytewise import slices, word_counts
 from ledgerloom.llm.staging import stage
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -94,7 +94,7 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tupl
 
 def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row as often as its words are taken whole, and once more cut after the words that are left."""
-    for batch in batches:
+    for batch in slices(batches):
         names = [n for n in batch.schema.names if n not in ("__size", "__taken")]
         kept, texts = [], []
         for row, (size, taken) in enumerate(zip(batch.column("__size").to_pylist(), batch.column("__taken").to_pylist())):
@@ -102,9 +102,9 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole, rest = divmod(taken, size) if size else (0, 0)
             kept += [row] * (whole + (rest > 0))
             texts += [text] * whole + ([_cut(text, rest)] if rest else [])
-        taken = batch.select(names).take(pa.array(kept, pa.int64()))
+        at = pa.array(kept, pa.int64())
         fresh = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
-        yield pa.RecordBatch.from_arrays([fresh.get(n, taken.column(n)) for n in names], names)
+        yield pa.RecordBatch.from_arrays([fresh[n] if n in fresh else batch.column(n).take(at) for n in names], names)
 
 
 def _cut(text: str, words: int) -> str:

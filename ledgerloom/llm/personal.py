@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.bytewise import slices
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 #: Documents with a digit or an @ that the field's potentials are counted on.
@@ -189,7 +191,7 @@ def added_spans(text: str, base: list[Span], model: Field) -> list[Span]:
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts from base labels: of shapes, of label pairs along the chain, and of label pairs along skip edges."""
-    for batch in batches:
+    for batch in slices(batches):
         counts: Counter = Counter()
         for text in batch.column(0).to_pylist():
             found = tokens(text, base_spans(text))
@@ -230,7 +232,7 @@ def joined(spans: list[Span]) -> str:
 
 def _find(model: Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns: list[list] = [[] for _ in range(6)]
             for text in batch.column(1):
                 text = text.as_py() or ""
@@ -271,7 +273,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     model = fit_field(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for text in batch.column("text"):
                 text = text.as_py()
