@@ -142,3 +142,44 @@ def breaks(bars: DataFrame, n: int = 252, volume_times: float = 2.5, volume_n: i
     seen = bars.select("security_id", "date", "close", "volume", F.max("high").over(before).alias("top"), F.min("low").over(before).alias("bottom"), F.count("*").over(before).alias("n"), F.avg("volume").over(recent).alias("usual"))
     side = F.when(F.col("close") > F.col("top"), "high").when(F.col("close") < F.col("bottom"), "low")
     return seen.withColumn("side", side).where((F.col("n") == n) & F.col("side").isNotNull() & (F.col("volume") > volume_times * F.col("usual"))).select("security_id", "date", "side", "close", "volume")
+
+
+def all_cells(bars: DataFrame, benchmark: DataFrame, sector: DataFrame) -> DataFrame:
+    """The 27 cells of each security's last bar, null where there are too few bars or the figure is undefined.
+
+    ``benchmark`` is (date, benchmark), ``sector`` (security_id, date, sector_close). Windows, recurrences and ratios
+    are three branches over the same partitioning; columns that aren't selected later are pruned with their work.
+    """
+    up, down = updown_volume(20)
+    top, bottom = high_low_distance(252)
+    first = bars.withColumns({"__ret": daily_return(), "__up": up, "__down": down, "__sma50": sma(50)})
+    cells = {
+        "n_bars": F.count("close").over(by_date().rowsBetween(Window.unboundedPreceding, 0)),
+        "sma_20": sma(20), "sma_50": F.col("__sma50"), "sma_200": sma(200),
+        "slope_50dma_pct": 100 * (ratio(F.col("__sma50"), F.lag("__sma50", 20).over(by_date())) - 1),
+        "price_vs_sma200_pct": 100 * (ratio(F.col("close"), sma(200)) - 1),
+        "roc_3m": roc(63), "roc_6m": roc(126), "roc_12m": roc(252), "dist_52w_high_pct": top, "dist_52w_low_pct": bottom,
+        "vol_20d": realised_vol("__ret", 20), "vol_60d": realised_vol("__ret", 60), "boll_width_20": bollinger_width(20, 2.0), "avg_volume_20": sma(20, "volume"),
+        "updown_volume_ratio_20": gated(ratio(F.sum("__up").over(rows(20)), F.sum("__down").over(rows(20))), 21),
+    }
+    windowed = _newest(first.withColumns(cells)).select("security_id", "date", "close", *cells)
+    arrays = series(bars.withColumn("tr", true_range()), "close", "tr")
+    line, signal = macd(F.col("close"))
+    recurrent = arrays.select("security_id", ema(F.col("close"), 21).alias("ema_21"), rsi(F.col("close"), 14).alias("rsi_14"), line.alias("macd"), signal.alias("macd_signal"), (line - signal).alias("macd_hist"), wilder(F.filter("tr", lambda x: x.isNotNull()), 14).alias("atr_14"))
+    weekly = _newest(weekly_closes(bars).withColumns({"__a": sma(10), "__b": sma(40)})).select("security_id", F.signum(F.when(F.col("__b").isNotNull(), F.col("__a") - F.col("__b"))).alias("weekly_trend"))
+    against = _relative(bars.join(benchmark, "date"), "benchmark", "benchmark")
+    within = _relative(bars.join(sector, ["security_id", "date"]), "sector_close", "sector")
+    joined = windowed.join(recurrent, "security_id").join(weekly, "security_id")
+    return joined.join(against, "security_id", "left").join(within, "security_id", "left").withColumns({"atr_pct": 100 * ratio(F.col("atr_14"), F.col("close")), "weekly_trend": F.when(F.col("n_bars") >= 200, F.col("weekly_trend"))})
+
+
+def _newest(df: DataFrame) -> DataFrame:
+    turn = F.row_number().over(Window.partitionBy("security_id").orderBy(F.desc("date")))
+    return df.withColumn("__turn", turn).where("__turn = 1").drop("__turn")
+
+
+def _relative(shared: DataFrame, base: str, name: str, window: int = 126) -> DataFrame:
+    """Close over the base at the last shared date, and its change in percent over so many shared dates."""
+    ratios = shared.withColumn("__ratio", ratio(F.col("close"), F.col(base))).where("__ratio is not null")
+    moved = ratios.withColumn("__change", 100 * (F.col("__ratio") / F.lag("__ratio", window).over(by_date()) - 1))
+    return _newest(moved).select("security_id", F.col("__ratio").alias(f"rs_{name}_ratio"), F.col("__change").alias(f"rs_{name}_change_6m_pct"))

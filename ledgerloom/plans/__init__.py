@@ -1,6 +1,6 @@
 """Queries over the test tables; importing the modules registers them."""
 
-from ledgerloom.plans import fundamentals, market, monitoring, portfolio
+from ledgerloom.plans import fundamentals, funds, market, monitoring, portfolio, rules, technical
 from ledgerloom.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "fundamentals", "market", "monitoring", "portfolio"]
+__all__ = ["ORACLE_SQL", "QUERIES", "fundamentals", "funds", "market", "monitoring", "portfolio", "rules", "technical"]
