@@ -94,3 +94,82 @@ def macro_year_change(series: DataFrame, key: str, date: str, value: str, within
     near = present.join(last, key).where((off <= within) & (F.col(date) < F.col("last_date"))).groupBy(key).agg(F.min_by(value, F.struct(off, F.col(date))).alias("near"))
     change = F.when(F.col("near") != 0, (F.col("last_value") / F.col("near") - 1) * 100)
     return last.join(near, key, "left").select(key, "last_date", "last_value", change.alias("yoy_pct"))
+
+
+#: Items that are kept as positive outflows whatever their sign in the filing.
+OUTFLOWS = ["capex"]
+
+
+def quarterise(facts: DataFrame) -> DataFrame:
+    """security_id, item, period_type (A or Q), period_end, value, filed_at, from reported facts.
+
+    ``facts`` is (security_id, item, rank, start, end, value, filed, annual_form). Of facts for one item and span those
+    of the lowest rank count. A quarter that isn't reported is the difference of two spans with one start. A later
+    filing of the same value is not a restatement.
+    """
+    span = Window.partitionBy("security_id", "item", "start", "end")
+    chosen = facts.withColumn("__best", F.min("rank").over(span)).where(F.col("rank") == F.col("__best")).withColumn("kind", period_kind(F.col("start"), F.col("end"))).where("kind <> 'other'")
+    types = F.when(F.col("kind") == "instant", F.when(F.col("annual_form"), F.array(F.lit("Q"), F.lit("A"))).otherwise(F.array(F.lit("Q")))).when(F.col("kind") == "YTD", F.array().cast("array<string>")).otherwise(F.array("kind"))
+    direct = chosen.select("security_id", "item", F.explode(types).alias("period_type"), F.col("end").alias("period_end"), "value", F.col("filed").alias("filed_at"))
+    spans = chosen.where("kind <> 'instant'").groupBy("security_id", "item", "start", "end").agg(F.max_by("value", "filed").alias("value"), F.max("filed").alias("filed"), F.max((F.col("kind") == "Q").cast("int")).alias("q"))
+    before = Window.partitionBy("security_id", "item", "start").orderBy("end")
+    told = F.max("q").over(Window.partitionBy("security_id", "item", "end"))
+    stepped = spans.withColumns({"v0": F.lag("value").over(before), "f0": F.lag("filed").over(before), "told": told}).where("v0 is not null and told = 0")
+    steps = stepped.select("security_id", "item", F.lit("Q").alias("period_type"), F.col("end").alias("period_end"), (F.col("value") - F.col("v0")).alias("value"), F.greatest("filed", "f0").alias("filed_at"))
+    rows = direct.unionByName(steps).withColumn("value", F.when(F.col("item").isin(*OUTFLOWS), F.abs("value")).otherwise(F.col("value")))
+    filings = Window.partitionBy("security_id", "item", "period_type", "period_end").orderBy("filed_at", "value")
+    return rows.withColumn("__last", F.lag("value").over(filings)).where("__last is null or __last <> value").drop("__last")
+
+
+def revision(snapshots: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """From (security_id, date, value): up, down or flat between the last snapshot ``days`` before and the last one; null if history is shorter."""
+    known = snapshots.where(F.col("date") <= as_of)
+    old = F.when(F.col("date") <= F.date_sub(as_of, days), F.col("date"))
+    seen = known.groupBy("security_id").agg(F.max_by("value", "date").alias("now"), F.max_by("value", old).alias("then"), F.max(old).alias("from"))
+    told = F.when(F.col("now") > F.col("then"), "up").when(F.col("now") < F.col("then"), "down").otherwise("flat")
+    return seen.select("security_id", F.when(F.col("from").isNotNull(), told).alias("direction"))
+
+
+def multiples(price: Column, eps: Column, shares: Column, equity: Column, ebitda: Column, debt: Column, cash: Column, fcf: Column, dividend: Column) -> dict[str, tuple[Column, Column]]:
+    """Each multiple with the reason why it is null: pe, pb, ev_ebitda, fcf_yield_pct, dividend_yield_pct."""
+    cap = price * shares
+    uncapped = F.when(cap.isNull(), "no share count")
+
+    def by(part: Column, whole: Column, name: str) -> tuple[Column, Column]:
+        known = part.isNotNull() & (whole > 0)
+        why = F.when(known, None).when(whole.isNull(), f"no {name}").when(whole <= 0, f"{name} is not positive")
+        return F.when(known, part / whole), why
+
+    pe, pb, ev = by(price, eps, "eps"), by(cap, equity, "equity"), by(cap + debt - cash, ebitda, "ebitda")
+    return {
+        "pe": pe,
+        "pb": (pb[0], F.coalesce(uncapped, pb[1])),
+        "ev_ebitda": (ev[0], F.coalesce(uncapped, F.when(debt.isNull(), "no debt").when(cash.isNull(), "no cash"), ev[1])),
+        "fcf_yield_pct": (F.when(cap > 0, 100 * fcf / cap), F.coalesce(uncapped, F.when(fcf.isNull(), "no cash flow"))),
+        "dividend_yield_pct": (F.when(price > 0, 100 * dividend / price), F.when(dividend.isNull(), "no dividend")),
+    }
+
+
+def pledge_flag(last: Column, rising: Column, limit_pct: float = 20.0) -> Column:
+    """fired above the limit or on a rise in each of the last quarters; ``rising`` is null where there are too few of them."""
+    return F.when(last.isNull(), "not_evaluable").when((last > limit_pct) | F.coalesce(rising, F.lit(False)), "fired").when(rising.isNull(), "not_evaluable").otherwise("clear")
+
+
+def cash_flag(cash_flow: Column, profit: Column, least: float = 0.5) -> Column:
+    """fired where the years' cash flow is below its share of their profit."""
+    return F.when(cash_flow.isNull() | profit.isNull() | (profit <= 0), "not_evaluable").when(cash_flow / profit < least, "fired").otherwise("clear")
+
+
+def contingent_flag(liabilities: Column, worth: Column, limit_pct: float = 20.0) -> Column:
+    return F.when(liabilities.isNull() | worth.isNull() | (worth <= 0), "not_evaluable").when(100 * liabilities / worth > limit_pct, "fired").otherwise("clear")
+
+
+def auditor_flag(filings: Column, changes: Column) -> Column:
+    """``filings`` seen in the look-back and how many of them report a change; none seen rules nothing out."""
+    return F.when(F.coalesce(filings, F.lit(0)) == 0, "not_evaluable").when(changes > 0, "fired").otherwise("clear")
+
+
+def last_change(series: DataFrame, key: str, date: str, value: str) -> DataFrame:
+    """key, last_value, changed_on: when the current value first stood; null if it never changed."""
+    moved = series.where(F.col(value).isNotNull()).withColumn("__before", F.lag(value).over(Window.partitionBy(key).orderBy(date)))
+    return moved.groupBy(key).agg(F.max_by(value, date).alias("last_value"), F.max(F.when(F.col("__before") != F.col(value), F.col(date))).alias("changed_on"))
