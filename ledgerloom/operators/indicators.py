@@ -73,34 +73,49 @@ def ema(values: Column, n: int) -> Column:
     return F.when(F.size(values) >= n, F.aggregate(rest, _mean(F.slice(values, 1, n)), lambda a, x: a + alpha * (x - a)))
 
 
-def ema_series(values: Column, n: int) -> Column:
-    """The means from the n-th value on."""
-    alpha = 2.0 / (n + 1)
-    rest = F.slice(values, n + 1, F.greatest(F.size(values) - n, F.lit(0)))
-    start = F.array(_mean(F.slice(values, 1, n)))
-    return F.when(F.size(values) >= n, F.aggregate(rest, start, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + alpha * (x - F.element_at(a, -1))))))
-
-
 def wilder(values: Column, n: int) -> Column:
     """The last smoothed mean: (before * (n - 1) + value) / n, begun with the mean of the first n."""
     rest = F.slice(values, n + 1, F.greatest(F.size(values) - n, F.lit(0)))
     return F.when(F.size(values) >= n, F.aggregate(rest, _mean(F.slice(values, 1, n)), lambda a, x: (a * (n - 1) + x) / n))
 
 
-def rsi(closes: Column, n: int) -> Column:
-    """Wilder's index of the last bar; null where no close differs."""
-    moves = F.zip_with(F.slice(closes, 2, F.size(closes)), F.slice(closes, 1, F.greatest(F.size(closes) - 1, F.lit(0))), lambda b, a: b - a)
-    up = wilder(F.transform(moves, lambda m: F.greatest(m, F.lit(0.0))), n)
-    down = wilder(F.transform(moves, lambda m: F.greatest(-m, F.lit(0.0))), n)
-    return F.when(up + down > 0, 100.0 * up / (up + down))
+def _seeded(held: Column, x: Column, place: Column, n: int, then: Column) -> Column:
+    """A mean in the making: a sum below the n-th value, their mean at it, and ``then`` afterwards."""
+    return F.when(place < n, held + x).when(place == n, (held + x) / n).otherwise(then)
 
 
-def macd(closes: Column, fast: int = 12, slow: int = 26, signal: int = 9) -> tuple[Column, Column]:
-    """Line and signal of the last bar; each mean begins with its own first bars."""
-    quick, late = ema_series(closes, fast), ema_series(closes, slow)
-    line = F.zip_with(F.slice(quick, slow - fast + 1, F.greatest(F.size(late), F.lit(0))), late, lambda a, b: a - b)
-    enough = F.size(closes) >= slow + signal - 1
-    return F.when(enough, F.element_at(line, -1)), F.when(enough, ema(line, signal))
+def rsi(closes: Column, n: int) -> Column:
+    """Wilder's index of the last bar, in one pass; null where no close differs."""
+    def step(s: Column, x: Column) -> Column:
+        move, place = x - s["last"], s["place"] + 1
+        up, down = F.greatest(move, F.lit(0.0)), F.greatest(-move, F.lit(0.0))
+        return F.struct(
+            x.alias("last"), place.alias("place"),
+            _seeded(s["up"], up, place, n, (s["up"] * (n - 1) + up) / n).alias("up"), _seeded(s["down"], down, place, n, (s["down"] * (n - 1) + down) / n).alias("down"),
+        )
+
+    start = F.struct(F.get(closes, F.lit(0)).alias("last"), F.lit(0).alias("place"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
+    rest = F.slice(closes, 2, F.greatest(F.size(closes), F.lit(0)))
+    return F.aggregate(rest, start, step, lambda s: F.when((s["place"] >= n) & (s["up"] + s["down"] > 0), 100.0 * s["up"] / (s["up"] + s["down"])))
+
+
+def macd(closes: Column, fast: int = 12, slow: int = 26, signal: int = 9) -> Column:
+    """A struct of line and signal of the last bar, in one pass; each mean begins with its own first bars."""
+    def step(s: Column, x: Column) -> Column:
+        place = s["place"] + 1
+        quick = _seeded(s["quick"], x, place, fast, s["quick"] + 2.0 / (fast + 1) * (x - s["quick"]))
+        late = _seeded(s["late"], x, place, slow, s["late"] + 2.0 / (slow + 1) * (x - s["late"]))
+        return F.struct(place.alias("place"), quick.alias("quick"), late.alias("late"), s["signal"].alias("signal"))
+
+    def follow(s: Column, x: Column) -> Column:
+        now = step(s, x)
+        line, n = now["quick"] - now["late"], now["place"] - slow + 1
+        held = F.when(n >= 1, _seeded(s["signal"], line, n, signal, s["signal"] + 2.0 / (signal + 1) * (line - s["signal"]))).otherwise(0.0)
+        return F.struct(now["place"].alias("place"), now["quick"].alias("quick"), now["late"].alias("late"), held.alias("signal"))
+
+    start = F.struct(F.lit(0).alias("place"), *[F.lit(0.0).alias(c) for c in ("quick", "late", "signal")])
+    enough = slow + signal - 1
+    return F.aggregate(closes, start, follow, lambda s: F.when(s["place"] >= enough, F.struct((s["quick"] - s["late"]).alias("line"), s["signal"].alias("signal"))))
 
 
 def weekly_closes(bars: DataFrame) -> DataFrame:
@@ -164,7 +179,8 @@ def all_cells(bars: DataFrame, benchmark: DataFrame, sector: DataFrame) -> DataF
     }
     windowed = _newest(first.withColumns(cells)).select("security_id", "date", "close", *cells)
     arrays = series(bars.withColumn("tr", true_range()), "close", "tr")
-    line, signal = macd(F.col("close"))
+    line, signal = F.col("__macd.line"), F.col("__macd.signal")
+    arrays = arrays.withColumn("__macd", macd(F.col("close")))
     recurrent = arrays.select("security_id", ema(F.col("close"), 21).alias("ema_21"), rsi(F.col("close"), 14).alias("rsi_14"), line.alias("macd"), signal.alias("macd_signal"), (line - signal).alias("macd_hist"), wilder(F.filter("tr", lambda x: x.isNotNull()), 14).alias("atr_14"))
     weekly = _newest(weekly_closes(bars).withColumns({"__a": sma(10), "__b": sma(40)})).select("security_id", F.signum(F.when(F.col("__b").isNotNull(), F.col("__a") - F.col("__b"))).alias("weekly_trend"))
     against = _relative(bars.join(benchmark, "date"), "benchmark", "benchmark")

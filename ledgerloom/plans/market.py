@@ -81,8 +81,7 @@ def ta_compute_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         - list_reduce(list_prepend(list_sum(c[1:26]) / 26, c[27:]), lambda a, x: a + (2.0::DOUBLE / 27) * (x - a)) END, 6) AS macd_line FROM f""",
 )
 def ta_ema_rsi_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line, _ = ta.macd(F.col("close"))
-    return ta.series(bars(spark, sf_dir), "close").select("security_id", r6(ta.ema(F.col("close"), 21)).alias("ema21"), r6(ta.rsi(F.col("close"), 14)).alias("rsi14"), r6(line).alias("macd_line"))
+    return ta.series(bars(spark, sf_dir), "close").select("security_id", r6(ta.ema(F.col("close"), 21)).alias("ema21"), r6(ta.rsi(F.col("close"), 14)).alias("rsi14"), r6(ta.macd(F.col("close"))["line"]).alias("macd_line"))
 
 
 @query(

@@ -1,12 +1,13 @@
 """Sequential operators against plain versions of themselves and hand-built cases."""
 
 from datetime import date, timedelta
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from ledgerloom.operators import calibration, setups
+from ledgerloom.operators import calibration, rebalance, setups
 
 
 def plain_interval(values, resamples, seed, level):
@@ -93,3 +94,25 @@ def test_levels_and_setups_run_by_security(spark):
     found = {(r["side"], r["place"]) for r in setups.levels(own).where("security_id = 'X'").collect()}
     assert {("support", 1), ("resistance", 1)} <= found
     assert {r["security_id"]: r["setup"] for r in setups.setups(own).collect()}["Y"] is None
+
+
+def position(key, kind, value, flag=None, tax=None):
+    return {"key": key, "class": kind, "value": Decimal(value), "flag": flag, "tax_per_unit": None if tax is None else Decimal(tax)}
+
+
+def test_spread_adds_up():
+    assert rebalance.spread(Decimal("100"), {"a": Decimal(1), "b": Decimal(1), "c": Decimal(1)}) == {"a": Decimal("33.33"), "b": Decimal("33.33"), "c": Decimal("33.34")}
+    assert rebalance.spread(Decimal(0), {"a": Decimal(1)}) == {} and rebalance.spread(Decimal(5), {"a": Decimal(0)}) == {}
+
+
+def test_moves():
+    targets = {"equity": Decimal(50), "debt": Decimal(50)}
+    held = [position("x", "equity", 700, tax="0.1"), position("y", "equity", 100, "EXIT"), position("z", "debt", 200)]
+    found = rebalance.moves(held, targets, Decimal(5), Decimal(0), Decimal(100), Decimal(0))
+    assert found == [("reduce", "equity", "y", Decimal(100)), ("reduce", "equity", "x", Decimal(150)), ("add", "debt", None, Decimal(250))]
+    capped = rebalance.moves(held, targets, Decimal(5), Decimal(0), Decimal(20), Decimal(50))
+    assert capped == [("reduce", "equity", "y", Decimal(100)), ("reduce", "equity", "x", Decimal(50)), ("add", "debt", None, Decimal(150))]
+    assert rebalance.moves(held, targets, Decimal(5), Decimal(600), Decimal(0), Decimal(0)) == [("add", "debt", None, Decimal(600))]
+    assert rebalance.moves(held, {}, Decimal(5), Decimal(0), Decimal(20), Decimal(0)) == []
+    assert rebalance.moves([], targets, Decimal(5), Decimal(9), Decimal(20), Decimal(0)) == []
+    assert rebalance.moves([*held, position("g", "gold", 500)], targets, Decimal(50), Decimal(0), Decimal(20), Decimal(0)) == []
