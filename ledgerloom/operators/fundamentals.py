@@ -111,7 +111,7 @@ def quarterise(facts: DataFrame) -> DataFrame:
     chosen = facts.withColumn("__best", F.min("rank").over(span)).where(F.col("rank") == F.col("__best")).withColumn("kind", period_kind(F.col("start"), F.col("end"))).where("kind <> 'other'")
     types = F.when(F.col("kind") == "instant", F.when(F.col("annual_form"), F.array(F.lit("Q"), F.lit("A"))).otherwise(F.array(F.lit("Q")))).when(F.col("kind") == "YTD", F.array().cast("array<string>")).otherwise(F.array("kind"))
     direct = chosen.select("security_id", "item", F.explode(types).alias("period_type"), F.col("end").alias("period_end"), "value", F.col("filed").alias("filed_at"))
-    spans = chosen.where("kind <> 'instant'").groupBy("security_id", "item", "start", "end").agg(F.max_by("value", "filed").alias("value"), F.max("filed").alias("filed"), F.max((F.col("kind") == "Q").cast("int")).alias("q"))
+    spans = chosen.where("kind <> 'instant'").groupBy("security_id", "item", "start", "end").agg(F.max_by("value", F.struct("filed", "value")).alias("value"), F.max("filed").alias("filed"), F.max((F.col("kind") == "Q").cast("int")).alias("q"))
     before = Window.partitionBy("security_id", "item", "start").orderBy("end")
     told = F.max("q").over(Window.partitionBy("security_id", "item", "end"))
     stepped = spans.withColumns({"v0": F.lag("value").over(before), "f0": F.lag("filed").over(before), "told": told}).where("v0 is not null and told = 0")
@@ -122,12 +122,16 @@ def quarterise(facts: DataFrame) -> DataFrame:
 
 
 def revision(snapshots: DataFrame, as_of: Column, days: int) -> DataFrame:
-    """From (security_id, date, value): up, down or flat between the last snapshot ``days`` before and the last one; null if history is shorter."""
-    known = snapshots.where(F.col("date") <= as_of)
-    old = F.when(F.col("date") <= F.date_sub(as_of, days), F.col("date"))
-    seen = known.groupBy("security_id").agg(F.max_by("value", "date").alias("now"), F.max_by("value", old).alias("then"), F.max(old).alias("from"))
-    told = F.when(F.col("now") > F.col("then"), "up").when(F.col("now") < F.col("then"), "down").otherwise("flat")
-    return seen.select("security_id", F.when(F.col("from").isNotNull(), told).alias("direction"))
+    """From (security_id, date, value): up, down or flat between the last snapshot ``days`` before and the last one; null if history is shorter.
+
+    Of snapshots of one day the larger counts.
+    """
+    known = snapshots.where((F.col("date") <= as_of) & F.col("value").isNotNull())
+    point = F.struct("date", "value")
+    seen = known.groupBy("security_id").agg(F.max(point).alias("now"), F.max(F.when(F.col("date") <= F.date_sub(as_of, days), point)).alias("then"))
+    now, then = F.col("now.value"), F.col("then.value")
+    told = F.when(now > then, "up").when(now < then, "down").otherwise("flat")
+    return seen.select("security_id", F.when(F.col("then").isNotNull(), told).alias("direction"))
 
 
 def multiples(price: Column, eps: Column, shares: Column, equity: Column, ebitda: Column, debt: Column, cash: Column, fcf: Column, dividend: Column) -> dict[str, tuple[Column, Column]]:

@@ -49,9 +49,9 @@ def st_quarterise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "st_revision",
-    f"""WITH {_FACTS}, s AS (SELECT security_id, filed AS date, value FROM facts WHERE item = 'revenue' AND rank = 0 AND filed <= DATE '1998-06-30')
-    SELECT security_id, CASE WHEN max(date) FILTER (date <= DATE '1998-06-30' - 90) IS NOT NULL THEN CASE WHEN max_by(value, date) > max_by(value, date) FILTER (date <= DATE '1998-06-30' - 90) THEN 'up'
-      WHEN max_by(value, date) < max_by(value, date) FILTER (date <= DATE '1998-06-30' - 90) THEN 'down' ELSE 'flat' END END AS direction FROM s GROUP BY 1""",
+    f"""WITH {_FACTS}, s AS (SELECT security_id, filed AS date, value FROM facts WHERE item = 'revenue' AND rank = 0 AND filed <= DATE '1998-06-30'),
+    r AS (SELECT security_id, last(value ORDER BY date, value) AS now, last(value ORDER BY date, value) FILTER (date <= DATE '1998-06-30' - 90) AS before FROM s GROUP BY 1)
+    SELECT security_id, CASE WHEN before IS NOT NULL THEN CASE WHEN now > before THEN 'up' WHEN now < before THEN 'down' ELSE 'flat' END END AS direction FROM r""",
 )
 def st_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshots = _facts(spark, sf_dir).where("item = 'revenue' and rank = 0").select("security_id", F.col("filed").alias("date"), "value")
