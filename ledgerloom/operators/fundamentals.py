@@ -177,3 +177,15 @@ def last_change(series: DataFrame, key: str, date: str, value: str) -> DataFrame
     """key, last_value, changed_on: when the current value first stood; null if it never changed."""
     moved = series.where(F.col(value).isNotNull()).withColumn("__before", F.lag(value).over(Window.partitionBy(key).orderBy(date)))
     return moved.groupBy(key).agg(F.max_by(value, date).alias("last_value"), F.max(F.when(F.col("__before") != F.col(value), F.col(date))).alias("changed_on"))
+
+
+def attributable_profit(income: Column, minority: Column, eps: Column, shares: Column, tolerance_pct: float = 3.0) -> tuple[Column, Column]:
+    """The parent's profit and its basis: reported_minority, no_minority, eps_x_shares, or unknown.
+
+    Without a reported minority, earnings per share times shares tell whether there is one: within the tolerance there
+    is none, a larger consolidated income gives the product, and a smaller one can't be explained and stays.
+    """
+    parent = eps * shares
+    gap = F.bround((income - parent) / parent * 100, 2)
+    basis = F.when(income.isNull(), "unknown").when(minority.isNotNull(), "reported_minority").when(parent.isNull() | (parent <= 0), "unknown").when(F.abs(gap) <= tolerance_pct, "no_minority").when(gap > 0, "eps_x_shares").otherwise("unknown")
+    return F.when(basis == "reported_minority", income - minority).when(basis == "eps_x_shares", parent).otherwise(income), basis

@@ -190,3 +190,18 @@ def sec_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.when(turn == 0, F.concat(F.lit("id:"), F.col("security_id").cast("string"))).when(turn == 1, F.upper("name")).otherwise(F.lower("symbol"))
     found = names.lookup(rows.select(F.col("security_id").alias("query_id"), asked.alias("text")), rows)
     return found.select("query_id", "text", "how", "security_id", F.size("candidates").alias("n_candidates"))
+
+
+_PROFITS = {"income": "CASE WHEN k % 10 <> 0 THEN CAST(k * 7 % 53 + 90 AS DOUBLE) END", "minority": "CASE WHEN k % 4 = 0 THEN CAST(k % 6 AS DOUBLE) END", "eps": "CASE WHEN k % 9 <> 0 THEN CAST(k % 5 AS DOUBLE) END", "shares": "CASE WHEN k % 11 <> 0 THEN CAST(k * 3 % 47 + 20 AS DOUBLE) END"}
+
+
+@query(
+    "fa_attributable",
+    f"""WITH k AS (SELECT c_custkey AS k FROM customer), i AS (SELECT k AS security_id, {', '.join(f'{e} AS {n}' for n, e in _PROFITS.items())} FROM k), g AS (SELECT *, eps * shares AS parent, round_even((income - eps * shares) / nullif(eps * shares, 0) * 100, 2) AS gap FROM i),
+    b AS (SELECT *, CASE WHEN income IS NULL THEN 'unknown' WHEN minority IS NOT NULL THEN 'reported_minority' WHEN parent IS NULL OR parent <= 0 THEN 'unknown' WHEN abs(gap) <= 3 THEN 'no_minority' WHEN gap > 0 THEN 'eps_x_shares' ELSE 'unknown' END AS basis FROM g)
+    SELECT security_id, round_even(CASE basis WHEN 'reported_minority' THEN income - minority WHEN 'eps_x_shares' THEN parent ELSE income END, 6) AS profit, basis FROM b""",
+)
+def fa_attributable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    figures = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).selectExpr("k as security_id", *[f"{e} as {n}" for n, e in _PROFITS.items()])
+    profit, basis = fu.attributable_profit(*[F.col(c) for c in ("income", "minority", "eps", "shares")])
+    return figures.select("security_id", r6(profit).alias("profit"), basis.alias("basis"))
