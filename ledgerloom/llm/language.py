@@ -20,6 +20,9 @@ FEATURES = SPACE * len(LENGTHS)
 FIT_ROWS, FIT_LANGUAGES = 200, 64
 LANDMARKS, RIDGE = 160, 1e-3
 UNKNOWN = "und"
+#: A text is in a language if so much of what nearly all labelled texts share with the others of theirs, it shares too:
+#: this times the percentile of their shares. Up to PERCENTILE of the labelled texts may be junk.
+FAMILIAR, PERCENTILE = 0.7, 5
 
 
 def ngram_ids(data: np.ndarray) -> Iterator[np.ndarray]:
@@ -60,11 +63,22 @@ def has_letter(text: str) -> bool:
 
 @dataclass
 class Model:
-    """``scores = presence @ weights / sqrt(number of features of the text) + offsets``, one column per language."""
+    """``scores = presence @ weights / sqrt(number of features of the text) + offsets``, one column per language.
+
+    ``seen``: packed presence of FEATURES in any fitted row of each language. ``floors``: the least share of a text's
+    features that must be among them. Neither depends on the other languages.
+    """
 
     languages: list[str]
     weights: np.ndarray
     offsets: np.ndarray
+    seen: np.ndarray
+    floors: np.ndarray
+
+    def familiar(self, features: np.ndarray, language: int) -> bool:
+        """Whether the text of these features looks like the language's fitted rows."""
+        share = (self.seen[language, features >> 3] >> (7 - (features & 7)) & 1).mean() if len(features) else 0.0
+        return bool(share >= self.floors[language])
 
     def scores(self, sets: list[np.ndarray]) -> np.ndarray:
         """A product of the sparse presence matrix of a batch of texts with the weights."""
@@ -77,6 +91,18 @@ class Model:
         return out + self.offsets
 
 
+def familiarity(bits: np.ndarray) -> tuple[np.ndarray, float]:
+    """Packed features of any row, and the floor of one language, from its rows.
+
+    Each distinct row is held back in turn: its share is that of its features which another row has. One row alone
+    gives a floor of 0, which rejects nothing.
+    """
+    rows = np.unpackbits(np.unique(bits, axis=0), axis=1)
+    count = rows.sum(0, dtype=np.int32)
+    share = (rows & (count > 1)).sum(1) / np.maximum(rows.sum(1, dtype=np.int32), 1)
+    return np.packbits(count > 0), FAMILIAR * float(np.percentile(share, PERCENTILE))
+
+
 def fit(bits: np.ndarray, labels: list[str]) -> Model:
     """Kernel ridge regression on the landmarks' features, one language against the rest.
 
@@ -85,7 +111,7 @@ def fit(bits: np.ndarray, labels: list[str]) -> Model:
     """
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros(0))
+        return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros(0), np.zeros((0, FEATURES // 8), np.uint8), np.zeros(0))
     turn: dict[str, int] = {}
     rank = [turn.update({x: turn.get(x, -1) + 1}) or turn[x] for x in labels]
     marks = np.argsort(rank, kind="stable")[:LANDMARKS]
@@ -113,7 +139,8 @@ def fit(bits: np.ndarray, labels: list[str]) -> Model:
     weights = np.zeros((FEATURES, len(languages)), np.float32)
     for a in range(0, bits.shape[1], step):
         weights[8 * a : 8 * (a + step)] = np.unpackbits(bits[marks, a : a + step], axis=1).astype(np.float32).T @ by_mark.astype(np.float32)
-    return Model(languages, weights, base - mean @ beta)
+    seen, floors = zip(*(familiarity(bits[np.array(labels) == x]) for x in languages))
+    return Model(languages, weights, base - mean @ beta, np.array(seen), np.array(floors))
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,21 +172,23 @@ def fit_languages(docs: DataFrame, held_out) -> Model:
     return fit(bits, [r["lang"] for r in rows])
 
 
-def predict(model: Model, column: pa.Array, together: int = 256) -> tuple[list[str], list[float]]:
-    """Language and score of each text of a column, scored ``together`` at a time."""
+def predict(model: Model, column: pa.Array, together: int = 256) -> tuple[list[str], list[float], list[bool]]:
+    """Language and score of each text of a column, and whether it looks like that language; ``together`` at a time."""
     flags = np.zeros(FEATURES, bool)
     data, starts = utf8(column)
     known: list[str] = []
     score: list[float] = []
+    familiar: list[bool] = []
     for a in range(0, len(column), together):
         rows = [data[starts[i] : starts[i + 1]] for i in range(a, min(a + together, len(column)))]
         letters = [bool(model.languages) and has_letter(bytes(text).decode("utf-8", "replace")) for text in rows]
-        found = model.scores([present(text, flags) if yes else np.zeros(0, int) for text, yes in zip(rows, letters)])
-        for line, yes in zip(found, letters):
+        sets = [present(text, flags) if yes else np.zeros(0, int) for text, yes in zip(rows, letters)]
+        for line, own, yes in zip(model.scores(sets), sets, letters):
             best = int(line.argmax()) if yes else -1
             known.append(model.languages[best] if yes else UNKNOWN)
             score.append(float(min(1.0, max(0.0, line[best]))) if yes else 0.0)
-    return known, score
+            familiar.append(yes and model.familiar(own, best))
+    return known, score, familiar
 
 
 def held_out_rows():
@@ -179,24 +208,26 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            known, score = predict(model, batch.column("text"))
+            known, score, _ = predict(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", held_out_rows().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.2) -> DataFrame:
-    """The rows of ``docs``, with all columns, that are in a learned language with a score of ``least`` or more.
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, that look like the learned language that they are found to be in.
 
-    A missing ``lang`` becomes the language found.
+    The scores of a text add up to 1 over the languages, so the best one says little of a text in none of them. A text
+    stays if the share of its n-grams that the language's fitted rows have reaches the language's floor
+    (``familiarity``). A missing ``lang`` becomes the language found.
     """
     model = fit_languages(docs, held_out_rows())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            known, score = predict(model, batch.column("text"))
+            known, _, familiar = predict(model, batch.column("text"))
             lang = [old or new for old, new in zip(batch.column("lang").to_pylist(), known)]
-            kept = pa.array([k != UNKNOWN and s >= least for k, s in zip(known, score)], pa.bool_())
+            kept = pa.array(familiar, pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()) if n == "lang" else batch.column(n) for n in batch.schema.names], batch.schema.names).filter(kept)
 
     return docs.mapInArrow(run, docs.schema)
