@@ -19,8 +19,13 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 #: Documents with a digit or an @ that the field's potentials are counted on.
 FIT_ROWS = 2000
-#: Least marginal probability of an added span, and rounds of message passing.
-SURE, ROUNDS = 0.95, 8
+#: Least marginal probability of an added span, and the change of a message at which passing ends.
+SURE, SETTLED = 0.95, 1e-4
+#: Rounds of message passing at most: these, and so many for each link of the longest run of linked tokens. Messages are
+#: damped by half, so one round carries half of a change over a link.
+ROUNDS, LINK_ROUNDS = 64, 4
+#: The log potential of a label other than a given one: so low that no number of messages outweighs it.
+_NEVER = -1e9
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -127,6 +132,35 @@ def edges(found: Tokens) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     return chain, sorted(skip)
 
 
+def given_edges(found: Tokens) -> list[tuple[int, int]]:
+    """Edges from each token without a base label to the one with it that is nearest before, else after, for each key.
+
+    What a base span says of a key so reaches every occurrence over one edge, however many lie between them.
+    """
+    out = set()
+    waiting: dict[str, list[int]] = defaultdict(list)
+    given: dict[str, int] = {}
+    for i, token in enumerate(found.text):
+        for key in keys(token):
+            if found.label[i]:
+                given[key] = i
+                out.update((j, i) for j in waiting.pop(key, ()))
+            elif key in given:
+                out.add((given[key], i))
+            else:
+                waiting[key].append(i)
+    return sorted(out)
+
+
+def longest_run(found: Tokens, pairs: list[tuple[int, int]]) -> int:
+    """Links of the longest path that follows edges forwards through tokens without a base label."""
+    reach = [0] * len(found.text)
+    for i, j in sorted(pairs):
+        if not (found.label[i] or found.label[j]):
+            reach[j] = max(reach[j], reach[i] + 1)
+    return max(reach, default=0)
+
+
 @dataclass
 class Field:
     """Log potentials: of a label by shape, of pairs along the chain, and of pairs along skip edges."""
@@ -137,12 +171,13 @@ class Field:
     skip: np.ndarray
 
     def marginals(self, found: Tokens) -> np.ndarray:
-        """Loopy sum-product messages over the document's chain and skip edges; base labels are given."""
+        """Loopy sum-product messages over the document's edges until they settle; base labels are given."""
         unary = np.array([self.shapes.get(shape(t), self.unseen) for t in found.text])
         for i, label in enumerate(found.label):
             if label:
-                unary[i] = np.where(np.arange(len(LABELS)) == label, 0.0, -50.0)
+                unary[i] = np.where(np.arange(len(LABELS)) == label, 0.0, _NEVER)
         chain, skip = edges(found)
+        skip = sorted({*skip, *given_edges(found)})
         if not chain and not skip:
             return _normal(unary)
         pairs = np.array(chain + skip)
@@ -152,13 +187,17 @@ class Field:
         potential = np.concatenate((potential, potential.transpose(0, 2, 1)))
         back = np.concatenate((np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))))
         message = np.zeros((len(source), len(LABELS)))
-        for _ in range(ROUNDS):
+        for _ in range(ROUNDS + LINK_ROUNDS * longest_run(found, chain + skip)):
             belief = unary.copy()
             np.add.at(belief, target, message)
             rest = (belief[source] - message[back])[:, :, None] + potential
             top = rest.max(1)
             fresh = top + np.log(np.exp(rest - top[:, None, :]).sum(1))
-            message = 0.5 * message + 0.5 * (fresh - fresh.max(1, keepdims=True))
+            fresh -= fresh.max(1, keepdims=True)
+            settled = np.abs(fresh - message).max() < SETTLED
+            message = 0.5 * message + 0.5 * fresh
+            if settled:
+                break
         belief = unary.copy()
         np.add.at(belief, target, message)
         return _normal(belief)
