@@ -119,7 +119,7 @@ def _filter_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _contexts(flags):
-    """Surroundings of the anchors whose seed may be repeated, once for each text of a partition.
+    """Surroundings of the anchors whose seed may be repeated, once for each place in a distinct text of a partition.
 
     Surroundings that a partition meets a third time are repeated whole: those rows have no bytes, only their extent, and
     are compared with nothing. The first two stand for them.
@@ -137,8 +137,14 @@ def _contexts(flags):
                 if b - a >= LENGTH and (own := text_id(bytes(data[a:b]))) not in seen:
                     seen.add(own)
                     fresh[r] = own
+            given = np.zeros(0, np.int64)
             for part, rows, at, first in pieces(data, starts):
                 place, seed = anchors(part, at)
+                if first[0]:  # a later piece of a text: its overlap with the one before may give a place again
+                    new = ~np.isin(place + first[0], given)
+                    place, seed, given = place[new], seed[new], place + first[0]
+                else:
+                    given = place
                 slices, probes = _probes(seed)
                 k = np.searchsorted(at, place, "right") - 1
                 maybe = np.isin(rows[k], list(fresh))
