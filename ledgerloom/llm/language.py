@@ -16,9 +16,12 @@ from ledgerloom.llm.bytewise import slices, utf8
 LENGTHS = (2, 3, 4)
 SPACE = 1 << 16
 FEATURES = SPACE * len(LENGTHS)
-#: Labelled documents that are fitted on for each language, and languages (the most frequent ones) at most.
-FIT_ROWS, FIT_LANGUAGES = 200, 64
+#: Labelled documents that are fitted on: for each language at most, and in all (but LEAST_ROWS for each language).
+FIT_ROWS, ALL_ROWS, LEAST_ROWS = 200, 12_800, 2
+#: Landmarks at least; with more languages, LEAST_ROWS for each.
 LANDMARKS, RIDGE = 160, 1e-3
+#: Up to so many languages weights are kept for each feature; beyond, for each landmark.
+DENSE = 64
 UNKNOWN = "und"
 #: A text is in a language if so much of what nearly all labelled texts share with the others of theirs, it shares too:
 #: this times the percentile of their shares. Up to PERCENTILE of the labelled texts may be junk.
@@ -65,6 +68,8 @@ def has_letter(text: str) -> bool:
 class Model:
     """``scores = presence @ weights / sqrt(number of features of the text) + offsets``, one column per language.
 
+    With many languages ``weights`` has a row for each landmark instead of each feature, and ``marks`` the landmarks
+    that have a feature: those of feature f are ``marks[1][marks[0][f] : marks[0][f + 1]]``.
     ``seen``: packed presence of FEATURES in any fitted row of each language. ``floors``: the least share of a text's
     features that must be among them. Neither depends on the other languages.
     """
@@ -74,6 +79,7 @@ class Model:
     offsets: np.ndarray
     seen: np.ndarray
     floors: np.ndarray
+    marks: tuple[np.ndarray, np.ndarray] | None = None
 
     def familiar(self, features: np.ndarray, language: int) -> bool:
         """Whether the text of these features looks like the language's fitted rows."""
@@ -84,12 +90,22 @@ class Model:
         """A product of the sparse presence matrix of a batch of texts with the weights."""
         sizes = np.array([len(s) for s in sets])
         out = np.zeros((len(sets), len(self.languages)))
+        if self.marks is not None:
+            shared = np.array([self._shared(s) for s in sets]).reshape(len(sets), len(self.weights))
+            return shared @ self.weights / np.sqrt(np.maximum(sizes, 1))[:, None] + self.offsets
         if sizes.sum():
             full = np.flatnonzero(sizes)
             heads = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
             out[full] = np.add.reduceat(self.weights[np.concatenate([sets[i] for i in full])], heads, axis=0) / np.sqrt(sizes[full])[:, None]
         return out + self.offsets
 
+    def _shared(self, features: np.ndarray) -> np.ndarray:
+        """How many features a text has in common with each landmark."""
+        heads, rows = self.marks
+        number = heads[features + 1] - heads[features]
+        at = np.repeat(heads[features] - np.cumsum(number) + number, number) + np.arange(number.sum())
+        return np.bincount(rows[at], minlength=len(self.weights))
+
 
 def familiarity(bits: np.ndarray) -> tuple[np.ndarray, float]:
     """Packed features of any row, and the floor of one language, from its rows.
@@ -114,10 +130,11 @@ def fit(bits: np.ndarray, labels: list[str]) -> Model:
         return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros(0), np.zeros((0, FEATURES // 8), np.uint8), np.zeros(0))
     turn: dict[str, int] = {}
     rank = [turn.update({x: turn.get(x, -1) + 1}) or turn[x] for x in labels]
-    marks = np.argsort(rank, kind="stable")[:LANDMARKS]
+    marks = np.argsort(rank, kind="stable")[: max(LANDMARKS, LEAST_ROWS * len(languages))]
     shared = np.zeros((len(labels), len(marks)))
     size = np.zeros(len(labels))
-    step = bits.shape[1] // 24
+    # so that a block of all rows takes 64 MB at most
+    step = max(1, min(bits.shape[1] // 24, (1 << 21) // len(labels)))
     for a in range(0, bits.shape[1], step):
         block = np.unpackbits(bits[:, a : a + step], axis=1).astype(np.float32)
         shared += block @ block[marks].T
@@ -136,10 +153,14 @@ def fit(bits: np.ndarray, labels: list[str]) -> Model:
     centred = mapped - mean
     beta = np.linalg.solve(centred.T @ (weight[:, None] * centred) + RIDGE * np.eye(centred.shape[1]), centred.T @ (weight[:, None] * (target - base)))
     by_mark = (lift @ beta) / root[marks][:, None]
+    seen, floors = zip(*(familiarity(bits[np.array(labels) == x]) for x in languages))
+    if len(languages) > DENSE:
+        rows, features = np.concatenate([np.stack((np.full(len(f), i), f)).astype(np.int32) for i, m in enumerate(marks) for f in [np.flatnonzero(np.unpackbits(bits[m]))]], axis=1)
+        heads = np.concatenate(([0], np.cumsum(np.bincount(features, minlength=FEATURES))))
+        return Model(languages, by_mark.astype(np.float32), base - mean @ beta, np.array(seen), np.array(floors), (heads, rows[np.argsort(features, kind="stable")]))
     weights = np.zeros((FEATURES, len(languages)), np.float32)
     for a in range(0, bits.shape[1], step):
         weights[8 * a : 8 * (a + step)] = np.unpackbits(bits[marks, a : a + step], axis=1).astype(np.float32).T @ by_mark.astype(np.float32)
-    seen, floors = zip(*(familiarity(bits[np.array(labels) == x]) for x in languages))
     return Model(languages, weights, base - mean @ beta, np.array(seen), np.array(floors))
 
 
@@ -158,13 +179,13 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_languages(docs: DataFrame, held_out) -> Model:
     """Fit on a bounded sample of the labelled rows outside ``held_out``.
 
-    The bound: ``FIT_ROWS`` rows, the first by a hash of the id, for each of the ``FIT_LANGUAGES`` most frequent
-    languages; each comes to the driver as FEATURES bits.
+    Every language is fitted. The bound: ``ALL_ROWS`` rows shared evenly, with ``LEAST_ROWS`` to ``FIT_ROWS`` for each
+    language, the first by a hash of the id; each comes to the driver as FEATURES bits.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
-    top = [r["lang"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_LANGUAGES).collect()]
-    ranked = labelled.where(F.col("lang").isin(top) if top else F.lit(False)).select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("rank"))
-    chosen = [r["doc_id"] for r in ranked.where(F.col("rank") <= FIT_ROWS).select("doc_id").collect()]
+    rows_each = max(LEAST_ROWS, min(FIT_ROWS, ALL_ROWS // max(1, labelled.select("lang").distinct().count())))
+    ranked = labelled.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("rank"))
+    chosen = [r["doc_id"] for r in ranked.where(F.col("rank") <= rows_each).select("doc_id").collect()]
     ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(chosen))], "doc_id long")
     rows = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text").mapInArrow(_bitmaps, "lang string, bits binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
