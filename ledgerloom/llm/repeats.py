@@ -1,8 +1,9 @@
 """Operator 3, suffix-array dedup: bytes inside strings of 200 that occur elsewhere, by deep-shallow suffix sorting.
 
-Sorting every suffix of a corpus would move each byte many times. A suffix is sorted only where it begins at an anchor:
-in every string of ``LENGTH`` bytes the seed of ``SEED`` bytes with the smallest hash, leftmost on ties, is one. Equal
-strings have equal anchors, so it is enough to compare the surroundings of anchors with the same seed.
+Sorting every suffix of a corpus would move each byte many times. A suffix is sorted only where it begins at an anchor.
+In every string of ``LENGTH`` bytes the seed of ``SEED`` bytes with the smallest hash, leftmost on ties, is chosen; the
+string then holds one of the two cores of ``CORE`` bytes that begin SIDE bytes before that seed, or with it. These cores
+are the anchors. Equal strings have equal cores, so it is enough to compare the surroundings of equal cores.
 """
 
 from __future__ import annotations
@@ -19,20 +20,22 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.bytewise import chunks, mix, utf8
 from ledgerloom.llm.staging import stage
 
-LENGTH, SEED = 200, 40
-#: Most bytes before a seed, and after it, that a string of LENGTH around it has.
-SIDE = LENGTH - SEED
+LENGTH, SEED, CORE = 200, 40, 120
+#: Most bytes before a core, and after it, that a string of LENGTH around it has.
+SIDE = LENGTH - CORE
 #: Texts longer than this are searched in pieces that overlap by LENGTH - 1 bytes.
 PIECE_BYTES = 1 << 18
 _PLACE_BITS = 21
 #: Bytes by which suffixes are sorted before blind tries take over.
 SHALLOW = 16
-#: Bits of the filter of repeated seeds, and its slices: 16 MB at any input size. More seeds than it can tell apart only
+#: Bits of the filter of repeated cores, and its slices: 16 MB at any input size. More cores than it can tell apart only
 #: let more single anchors through, which then find no partner.
 FILTER_BITS, SLICES = 1 << 27, 64
 _SLICE_BITS = FILTER_BITS // SLICES
-#: Anchors of one seed that a task compares with as many others; rows that are sorted together.
-CELL_ROWS, TOGETHER = 40_000, 8_000
+#: Most anchors of one key that are sorted together, and rows at which a task begins to sort: it holds both at most.
+CELL_ROWS, TOGETHER = 24_000, 4_000
+#: Texts and surroundings that a partition remembers; what it forgets is compared again.
+REMEMBERED = 200_000
 
 _BYTE_VALUE = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -59,13 +62,13 @@ def pieces(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 
 def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of anchors in the parts that begin at ``at``, and the hashes of their seeds."""
+    """Places of anchors in the parts that begin at ``at``, and the hashes of their cores."""
     n = len(data)
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUE[data] * _POWERS[:n], dtype=np.uint64)))
     hashes = mix((prefix[SEED:] - prefix[:-SEED]) * _INVERSE[: n - SEED + 1])
-    width = SIDE + 1
+    width = LENGTH - SEED + 1
     rows = -(-len(hashes) // width)
     key = np.full(rows * width, 2**64 - 1, np.uint64)
     key[: len(hashes)] = (hashes >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | np.arange(len(hashes), dtype=np.uint64)
@@ -73,34 +76,35 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rising = np.minimum.accumulate(square, 1).ravel()
     falling = np.minimum.accumulate(square[:, ::-1], 1)[:, ::-1].ravel()
     # strings begin at 0 .. n - LENGTH and must end within their part
-    least = np.minimum(falling[: n - LENGTH + 1], rising[SIDE : SIDE + n - LENGTH + 1])
-    ends = np.repeat(at[1:], np.diff(at))
-    least = least[np.arange(n - LENGTH + 1) + LENGTH <= ends[: n - LENGTH + 1]]
-    place = (least & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
-    place = np.unique(place[np.concatenate(([True], place[1:] != place[:-1]))]) if len(place) else place
-    return place, hashes[place]
+    least = np.minimum(falling[: n - LENGTH + 1], rising[width - 1 : width + n - LENGTH])
+    first = np.arange(n - LENGTH + 1)
+    whole = first + LENGTH <= np.repeat(at[1:], np.diff(at))[: n - LENGTH + 1]
+    seed, first = (least[whole] & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64), first[whole]
+    core = np.where(seed - first >= SIDE, seed - SIDE, seed)
+    core = np.unique(core[np.concatenate(([True], core[1:] != core[:-1]))]) if len(core) else core
+    return core, mix((prefix[core + CORE] - prefix[core]) * _INVERSE[core])
 
 
 def text_id(text: bytes) -> bytes:
     return hashlib.md5(text, usedforsecurity=False).digest()
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seed, occurrence): the occurrence hashes text and place, so that copies of a text count once."""
+def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(core, occurrence): the occurrence hashes text and place, so that copies of a text count once."""
     for batch in batches:
         data, starts = utf8(batch.column(0))
         for part, rows, at, first in pieces(data, starts):
-            place, seed = anchors(part, at)
+            place, core = anchors(part, at)
             if len(place):
                 own = np.array([int.from_bytes(text_id(bytes(data[starts[r] : starts[r + 1]]))[:8], "little") for r in rows], np.uint64)
                 k = np.searchsorted(at, place, "right") - 1
                 where = mix(own[k] + mix((place - at[k] + first[k]).astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(where.view(np.int64))], ["seed", "occurrence"])
+                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(where.view(np.int64))], ["core", "occurrence"])
 
 
-def _probes(seed: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Slice of each seed, and its bits there."""
-    own = seed.view(np.uint64)
+def _probes(core: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Slice of each core, and its bits there."""
+    own = core.view(np.uint64)
     again = mix(own + np.uint64(1))
     return (own % np.uint64(SLICES)).astype(np.int64), [(again >> np.uint64(s)).astype(np.int64) % _SLICE_BITS for s in (0, 21, 42)]
 
@@ -119,51 +123,56 @@ def _filter_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _contexts(flags):
-    """Surroundings of the anchors whose seed may be repeated, once for each place in a distinct text of a partition.
+    """Surroundings of the anchors whose core may be repeated, once for each place in a distinct text of a partition.
 
     Surroundings that a partition meets a third time are repeated whole: those rows have no bytes, only their extent, and
-    are compared with nothing. The first two stand for them.
+    are compared with nothing. The first two stand for them. A partition remembers ``REMEMBERED`` texts and surroundings
+    and then begins anew, which only gives rows that are compared once more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(flags.value, np.uint8)
         seen: set[bytes] = set()
         met: dict[bytes, int] = {}
-        names = ["seed", "text_id", "place", "before", "after", "bytes"]
+        names = ["key", "text_id", "place", "before", "after", "bytes"]
         for batch in batches:
             data, starts = utf8(batch.column(0))
             fresh: dict[int, bytes] = {}
+            if len(seen) > REMEMBERED:
+                seen.clear()
             for r, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
                 if b - a >= LENGTH and (own := text_id(bytes(data[a:b]))) not in seen:
                     seen.add(own)
                     fresh[r] = own
             given = np.zeros(0, np.int64)
             for part, rows, at, first in pieces(data, starts):
-                place, seed = anchors(part, at)
+                place, core = anchors(part, at)
                 if first[0]:  # a later piece of a text: its overlap with the one before may give a place again
                     new = ~np.isin(place + first[0], given)
-                    place, seed, given = place[new], seed[new], place + first[0]
+                    place, core, given = place[new], core[new], place + first[0]
                 else:
                     given = place
-                slices, probes = _probes(seed)
+                slices, probes = _probes(core)
                 k = np.searchsorted(at, place, "right") - 1
                 maybe = np.isin(rows[k], list(fresh))
                 for p in probes:
                     bit = slices * _SLICE_BITS + p
                     maybe &= (bits[bit >> 3] >> (bit & 7) & 1).astype(bool)
-                place, seed, k = place[maybe], seed[maybe], k[maybe]
+                place, core, k = place[maybe], core[maybe], k[maybe]
                 if not len(place):
                     continue
                 # the surroundings come from the whole text: a piece may end sooner
                 here = starts[rows[k]] + place - at[k] + first[k]
+                if len(met) > REMEMBERED:
+                    met.clear()
                 a, b = np.maximum(starts[rows[k]], here - SIDE), np.minimum(starts[rows[k] + 1], here + LENGTH)
                 strings: list[bytes | None] = []
-                for lo, hi, at_seed in zip(a.tolist(), b.tolist(), here.tolist()):
+                for lo, hi, at_core in zip(a.tolist(), b.tolist(), here.tolist()):
                     own = bytes(data[lo:hi])
-                    key = hashlib.md5(b"%d " % (at_seed - lo) + own, usedforsecurity=False).digest()
+                    key = hashlib.md5(b"%d " % (at_core - lo) + own, usedforsecurity=False).digest()
                     met[key] = met.get(key, 0) + 1
                     strings.append(own if met[key] <= 2 else None)
-                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array([fresh[r] for r in rows[k].tolist()], pa.binary()), pa.array(here - starts[rows[k]]), pa.array(here - a), pa.array(b - here), pa.array(strings, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array([fresh[r] for r in rows[k].tolist()], pa.binary()), pa.array(here - starts[rows[k]]), pa.array(here - a), pa.array(b - here), pa.array(strings, pa.binary())], names)
 
     return run
 
@@ -232,54 +241,91 @@ class BlindTrie:
         return order, shared
 
 
-def suffix_order(group: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def multikey_quicksort(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers in order of group and words, and for each place the first place of its class of equal rows.
+
+    All classes are divided at once: a member's word at the class's depth is the pivot, the others go below, to or above
+    it, and what equals it goes on with the next word.
+    """
+    order = np.argsort(group, kind="stable")
+    found = np.arange(len(group))
+    step = np.concatenate(([True], group[order][1:] != group[order][:-1]))
+    first = found[step][np.cumsum(step) - 1]
+    depth = np.zeros(len(group), np.int64)
+    open_ = np.repeat(np.diff(np.append(np.flatnonzero(step), len(group))) > 1, np.diff(np.append(np.flatnonzero(step), len(group))))
+    while len(at := found[open_]):
+        row, own = order[at], first[at]
+        value = words[row, depth[at]]
+        head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        size = np.diff(np.append(head, len(at)))
+        pivot = np.repeat(value[head + size // 2], size)
+        side = (value >= pivot).astype(np.int8) + (value > pivot)
+        turn = np.lexsort((side, own))
+        order[at], side = row[turn], side[turn]
+        step = np.concatenate(([True], (own[1:] != own[:-1]) | (side[1:] != side[:-1])))
+        head = np.flatnonzero(step)
+        first[at] = at[head][np.cumsum(step) - 1]
+        depth[at] += side == 1
+        size = np.diff(np.append(head, len(at)))
+        open_[at] = (np.repeat(size, size) > 1) & (depth[at] < words.shape[1])
+    return order, first
+
+
+class Strings:
+    """Parts of the rows of a binary column: ``size`` bytes each from ``at``, onwards or (``step`` -1) backwards."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, size: np.ndarray, step: int):
+        self.data, self.at, self.size, self.step = data, at, size, step
+
+    def heads(self, width: int) -> np.ndarray:
+        """The first bytes of each, filled up with zeros."""
+        k = np.arange(width)
+        place = np.clip(self.at[:, None] + self.step * k, 0, max(0, len(self.data) - 1))
+        return np.where(k < self.size[:, None], self.data[place], 0).astype(np.uint8)
+
+    def __getitem__(self, i: int) -> bytes:
+        a, n = int(self.at[i]), int(self.size[i])
+        return self.data[a : a + n].tobytes() if self.step == 1 else self.data[a - n + 1 : a + 1].tobytes()[::-1]
+
+
+def suffix_order(group: np.ndarray, strings: Strings) -> tuple[np.ndarray, np.ndarray]:
     """Deep-shallow order of strings within their groups, and common prefixes with the one before (-1 at a group's start).
 
-    A multikey sort refines classes of equal prefixes by eight bytes at a time to a depth of SHALLOW; blind tries order
-    what is still equal then.
+    Multikey quicksort by words of eight bytes to a depth of SHALLOW; blind tries order what is still equal then.
     """
-    n = len(strings)
-    size = np.array([len(s) for s in strings])
-    head = np.frombuffer(b"".join(s[:SHALLOW].ljust(SHALLOW, b"\0") for s in strings), np.uint8).reshape(n, SHALLOW)
-    words = head.view(">u8").astype(np.uint64)
-    order, same = np.argsort(group, kind="stable"), group
-    for w in range(words.shape[1]):
-        order = np.lexsort((words[:, w], same))
-        step = np.concatenate(([True], (same[order][1:] != same[order][:-1]) | (words[order, w][1:] != words[order, w][:-1])))
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.cumsum(step)
-        same = fresh
-    shared = np.full(n, -1, np.int64)
+    head, size = strings.heads(SHALLOW), strings.size
+    order, first = multikey_quicksort(group, head.view(">u8").astype(np.uint64))
+    shared = np.full(len(size), -1, np.int64)
     a, b = order[:-1], order[1:]
     equal = np.logical_and.accumulate(head[a] == head[b], axis=1).sum(1)
     shared[1:] = np.where(group[a] == group[b], np.minimum(equal, np.minimum(size[a], size[b])), -1)
-    bounds = np.flatnonzero(np.concatenate(([True], same[order][1:] != same[order][:-1], [True])))
-    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if hi - lo > 1:
-            own = order[lo:hi]
-            trie_order, trie_shared = BlindTrie([strings[i] for i in own.tolist()]).ordered()
-            order[lo:hi] = own[trie_order]
-            shared[lo + 1 : hi] = trie_shared[1:]
+    bounds = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1], [True])))
+    for k in np.flatnonzero(np.diff(bounds) > 1).tolist():
+        lo, hi = bounds[k], bounds[k + 1]
+        own = order[lo:hi]
+        trie_order, trie_shared = BlindTrie([strings[i] for i in own.tolist()]).ordered()
+        order[lo:hi] = own[trie_order]
+        shared[lo + 1 : hi] = trie_shared[1:]
     return order, shared
 
 
-def repeated_extent(group: np.ndarray, before: list[bytes], after: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each anchor the least and most bytes before its seed of a repeated string (-1 if there is none).
+def repeated_extent(group: np.ndarray, before: Strings, after: Strings, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each anchor the least and most bytes before its core, from ``low`` to ``high``, of a repeated string (-1: none).
 
-    ``before``: the bytes before the seed, nearest first; ``after``: those after it. A string with d bytes before is
+    ``before``: the bytes before the core, nearest first; ``after``: those after it. A string with d bytes before is
     repeated if another anchor of the group has the same d bytes before and SIDE - d after: if both are in one run of
     the first order with common prefixes of d or more, and in one of the second order with SIDE - d or more.
     """
-    n = len(before)
+    n = len(group)
     least, most = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     left_order, left_shared = suffix_order(group, before)
     right_order, right_shared = suffix_order(group, after)
-    left_size, right_size = np.array([len(s) for s in before]), np.array([len(s) for s in after])
+    low, high = np.maximum(low, SIDE - after.size), np.minimum(high, before.size)
     left_run, right_run = np.empty(n, np.int64), np.empty(n, np.int64)
-    for d in range(SIDE + 1):
+    for d in range(max(0, int(low.min())), min(SIDE, int(high.max())) + 1):
+        whole = np.flatnonzero((low <= d) & (d <= high))
         left_run[left_order] = np.cumsum(left_shared < d)
         right_run[right_order] = np.cumsum(right_shared < SIDE - d)
-        whole = np.flatnonzero((left_size >= d) & (right_size >= SIDE - d))
         key = left_run[whole] * (n + 1) + right_run[whole]
         order = np.argsort(key, kind="stable")
         equal = key[order][1:] == key[order][:-1]
@@ -292,39 +338,34 @@ def repeated_extent(group: np.ndarray, before: list[bytes], after: list[bytes])
     return least, most
 
 
+_SPANS = "text_id binary, a long, b long"
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated spans of texts, from anchors sorted by seed and cell."""
+    """Repeated spans of texts, from anchors sorted by key; a key of hot anchors has at most CELL_ROWS."""
     held: list[pa.RecordBatch] = []
     rows = 0
 
-    def spans(table: pa.Table) -> list[pa.RecordBatch]:
-        whole = pc.is_null(table["bytes"])
-        given, table = table.filter(whole), table.filter(pc.invert(whole))
-        first, last = given["place"].to_numpy() - given["before"].to_numpy(), given["place"].to_numpy() + given["after"].to_numpy()
-        known = pa.RecordBatch.from_arrays([given["text_id"].combine_chunks(), pa.array(first), pa.array(last)], ["text_id", "a", "b"])
-        return pa.Table.from_batches([known, compared(table)]).combine_chunks().to_batches()
-
     def compared(table: pa.Table) -> pa.RecordBatch:
-        keys = [table[c].to_numpy() for c in ("seed", "x", "y")]
-        step = np.zeros(table.num_rows, bool)
-        for k in keys:
-            step[1:] |= k[1:] != k[:-1]
-        group = np.cumsum(step)
-        texts, place = table["text_id"].to_pylist(), table["place"].to_numpy()
+        keys, places, texts = table["key"].to_numpy(), table["place"].to_numpy(), table["text_id"]
+        # equal keys are only equal hashes: the cores themselves decide
+        core = pc.binary_join_element_wise(pa.array([b"%d " % k for k in keys.tolist()], pa.binary()), _middle(table), b"")
+        group = core.dictionary_encode().indices.to_numpy().astype(np.int64)
         # a text that several partitions have met is one
-        first: dict[tuple, int] = {}
-        for i, key in enumerate(zip(group.tolist(), texts, place.tolist())):
-            first.setdefault(key, i)
-        own = np.array(list(first.values()), np.int64)
-        count = np.bincount(group[own], minlength=1)
-        own = own[count[group[own]] > 1]
+        text = texts.combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        own = np.unique(np.stack((group, text, places)), axis=1, return_index=True)[1]
+        own = own[np.bincount(group[own])[group[own]] > 1]
         if not len(own):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.int64()), pa.array([], pa.int64())], ["text_id", "a", "b"])
+            return _batch([], own, own)
         taken = table.take(pa.array(own))
-        strings, cut = taken["bytes"].to_pylist(), taken["before"].to_pylist()
-        least, most = repeated_extent(group[own], [s[:c][::-1] for s, c in zip(strings, cut)], [s[c + SEED :] for s, c in zip(strings, cut)])
+        data, starts = _binary(taken["bytes"])
+        cut, size = taken["before"].to_numpy(), np.diff(starts)
+        before = Strings(data, starts[:-1] + cut - 1, np.minimum(cut, SIDE), -1)
+        after = Strings(data, starts[:-1] + cut + CORE, size - cut - CORE, 1)
+        least, most = repeated_extent(group[own], before, after, taken["low"].to_numpy(), taken["high"].to_numpy())
         hit = np.flatnonzero(most >= 0)
-        return pa.RecordBatch.from_arrays([pa.array([texts[own[i]] for i in hit.tolist()], pa.binary()), pa.array(place[own[hit]] - most[hit]), pa.array(place[own[hit]] - least[hit] + LENGTH)], ["text_id", "a", "b"])
+        place = places[own[hit]]
+        return _batch(taken["text_id"].take(pa.array(hit)).combine_chunks(), place - most[hit], place - least[hit] + LENGTH)
 
     def ready(last: bool) -> Iterator[pa.RecordBatch]:
         """The groups that surely have ended, or all at the end."""
@@ -332,26 +373,87 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
         end = table.num_rows
         if not last:
-            keys = [table[c].to_numpy() for c in ("seed", "x", "y")]
-            differs = np.zeros(end, bool)
-            for k in keys:
-                differs |= k != k[-1]
-            end = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+            keys = table["key"].to_numpy()
+            differs = np.flatnonzero(keys != keys[-1])
+            end = int(differs[-1]) + 1 if len(differs) else 0
         if end:
-            yield from spans(table.slice(0, end))
+            yield compared(table.slice(0, end))
         held = table.slice(end).combine_chunks().to_batches()
         rows = table.num_rows - end
 
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            rows += batch.num_rows
-        if rows >= TOGETHER:
-            yield from ready(False)
+        for at in range(0, batch.num_rows, TOGETHER):
+            held.append(pa.concat_batches([batch.slice(at, TOGETHER)]))
+            rows += held[-1].num_rows
+            if rows >= TOGETHER:
+                yield from ready(False)
+        pa.default_memory_pool().release_unused()
     if held:
         yield from ready(True)
 
 
+def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls and where each row starts."""
+    column = column.combine_chunks()
+    _, starts, data = column.buffers()
+    return np.frombuffer(data, np.uint8), np.frombuffer(starts, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
+def _middle(table: pa.Table) -> pa.Array:
+    """The cores of rows of surroundings."""
+    data, starts = _binary(table["bytes"])
+    first = starts[:-1] + table["before"].to_numpy()
+    values = data[first[:, None] + np.arange(CORE)].tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.arange(len(first) + 1) * CORE).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _batch(texts, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["text_id", "a", "b"])
+
+
+def _sorted_spans(cells: DataFrame) -> DataFrame:
+    return cells.select("key", "low", "high", "text_id", "place", "before", "after", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(_compare, _SPANS)
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """Each row of a hot key under two finer keys, each for one half of the numbers of bytes before the core.
+
+    All strings with low to high bytes before the core have ``low`` bytes before it and LENGTH - ``high`` from it on in
+    common. Half the numbers have more in common, so the rows of a key fall apart by what they have there.
+    """
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    half = F.explode(F.array(F.struct(F.col("low").alias("l"), middle.alias("h")), F.struct((middle + 1).alias("l"), F.col("high").alias("h"))))
+    halved = rows.withColumn("half", half).withColumns({"low": F.col("half.l"), "high": F.col("half.h")}).drop("half")
+    has = (F.col("low") <= F.col("high")) & (F.greatest("low", LENGTH - F.col("after")) <= F.least("high", "before"))
+    common = F.expr(f"substring(bytes, CAST(before - low + 1 AS INT), low + {LENGTH} - high)")
+    return halved.where(has).withColumn("key", F.xxhash64("key", "low", common))
+
+
+def _hot_spans(rows: DataFrame) -> DataFrame:
+    """Spans of the anchors of hot cores: keys are made finer until each has at most CELL_ROWS anchors.
+
+    In each round rows that have all bytes of a key's strings in common are repeated, and two of them stand for the
+    others. What is still too large is split. A key with one string left has at most two rows, so seven rounds suffice.
+    """
+    found = None
+    while True:
+        rows = stage(_split(rows), "hot-anchors")
+        full = (F.col("before") >= F.col("high")) & (F.col("after") >= LENGTH - F.col("low"))
+        string = F.when(full, F.expr(f"substring(bytes, CAST(before - high + 1 AS INT), {LENGTH} + high - low)"))
+        rows = rows.withColumn("string", F.md5(string))
+        place = F.struct("text_id", "place")
+        twice = stage(rows.where("string IS NOT NULL").groupBy("key", "string").agg(F.min(place).alias("l"), F.max(place).alias("h")).where("l <> h"), "hot-strings")
+        marked = rows.join(twice, ["key", "string"], "left")
+        part = marked.where("l IS NOT NULL").select("text_id", (F.col("place") - F.col("high")).alias("a"), (F.col("place") - F.col("low") + LENGTH).alias("b"))
+        rows = stage(marked.where((F.col("l").isNull()) | (place == F.col("l")) | (place == F.col("h"))).drop("string", "l", "h"), "hot-rest")
+        large = stage(rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("high") - F.col("low")).alias("more")).where((F.col("n") > CELL_ROWS) & (F.col("more") > 0)), "hot-keys")
+        part = part.unionByName(_sorted_spans(rows.join(large, "key", "left_anti")))
+        found = part if found is None else found.unionByName(part)
+        rows = rows.join(large, "key", "left_semi")
+        if large.isEmpty():
+            return found
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The maximal runs that spans cover."""
     out: list[tuple[int, int]] = []
@@ -370,23 +472,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.where(F.octet_length("text") >= LENGTH).select("text")
-    seeds = texts.mapInArrow(_seeds, "seed long, occurrence long").groupBy("seed").agg(F.min("occurrence").alias("low"), F.max("occurrence").alias("high"), F.count("*").alias("n"))
-    repeated = stage(seeds.where("low <> high").select("seed", "n"), "repeated-seeds")
-    parts = repeated.select("seed").repartition(SLICES, F.pmod("seed", F.lit(SLICES))).mapInArrow(_filter_slices, "slice long, bits binary").collect()
+    cores = texts.mapInArrow(_cores, "core long, occurrence long").groupBy("core").agg(F.min("occurrence").alias("low"), F.max("occurrence").alias("high"))
+    repeated = cores.where("low <> high").select("core")
+    parts = repeated.repartition(SLICES, F.pmod("core", F.lit(SLICES))).mapInArrow(_filter_slices, "slice long, bits binary").collect()
     flags = np.zeros((SLICES, _SLICE_BITS // 8), np.uint8)
     for r in parts:
         flags[r["slice"]] |= np.frombuffer(r["bits"], np.uint8)
     sent = spark.sparkContext.broadcast(flags.tobytes())
-    found = texts.mapInArrow(_contexts(sent), "seed long, text_id binary, place long, before long, after long, bytes binary")
-    # rows without bytes need no partner and go anywhere
-    found = found.withColumn("seed", F.when(F.col("bytes").isNull(), F.xxhash64("text_id", "place")).otherwise(F.col("seed")))
-    large = stage(repeated.where(F.col("n") > CELL_ROWS).select("seed", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("blocks")), "hot-seeds")
-    blocks = F.when(F.col("bytes").isNull(), 1).otherwise(F.coalesce("blocks", F.lit(1)))
-    found = found.join(large, "seed", "left").withColumn("blocks", blocks)
-    # equal surroundings meet in one block
-    found = found.withColumn("block", F.pmod(F.xxhash64("before", "bytes"), F.col("blocks")).cast("int"))
-    cells = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("seed", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "text_id", "place", "before", "after", "bytes")
-    return cells.repartition("seed", "x", "y").sortWithinPartitions("seed", "x", "y").mapInArrow(_compare, "text_id binary, a long, b long")
+    found = stage(texts.mapInArrow(_contexts(sent), "key long, text_id binary, place long, before long, after long, bytes binary"), "anchors")
+    whole = found.where("bytes IS NULL").select("text_id", (F.col("place") - F.col("before")).alias("a"), (F.col("place") + F.col("after")).alias("b"))
+    found = found.where("bytes IS NOT NULL").withColumns({"low": F.lit(0), "high": F.lit(SIDE)})
+    hot = stage(found.groupBy("key").count().where(F.col("count") > CELL_ROWS).select("key"), "hot-cores")
+    if hot.isEmpty():
+        return _sorted_spans(found).unionByName(whole)
+    return _sorted_spans(found.join(hot, "key", "left_anti")).unionByName(whole).unionByName(_hot_spans(found.join(hot, "key", "left_semi")))
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,15 +508,15 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row: bytes inside repeated strings of LENGTH bytes go.
 
-    Anchors with equal seeds are compared in cells of at most ``2 * CELL_ROWS`` rows, so a very common passage is many
-    tasks; all others are sorted together by seed. A text that occurs twice or more is removed whole if it has LENGTH
+    Anchors with equal cores are sorted together; a core with more than ``CELL_ROWS`` anchors falls apart by the bytes
+    around it (``_split``), so no task sorts a very common passage alone. A text that occurs twice or more is removed whole if it has LENGTH
     bytes. What is removed is judged on the input, and a string may occur again in the same text.
 
     Null and empty texts have no bytes. Repeated rows are copies of each other. An empty table gives an empty result.
     Other columns of ``docs`` are ignored.
     """
     key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text_id")
-    spans = stage(repeated_spans(docs), "repeated-spans").groupBy("text_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = stage(repeated_spans(docs), "repeated-spans").groupBy("text_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     copies = docs.select(key).groupBy("text_id").agg(F.count("*").alias("copies")).where("copies > 1")
     facts = copies.join(spans, "text_id", "full_outer")
     return docs.select("doc_id", "text", key).join(facts, "text_id", "left").select("doc_id", "text", "copies", "spans").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
