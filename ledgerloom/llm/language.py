@@ -176,21 +176,23 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["lang", "bits"])
 
 
-def fit_languages(docs: DataFrame, held_out) -> Model:
+def fit_languages(docs: DataFrame, held_out, rows_each: int = FIT_ROWS, rows: int = ALL_ROWS) -> Model:
     """Fit on a bounded sample of the labelled rows outside ``held_out``.
 
-    Every language is fitted. The bound: ``ALL_ROWS`` rows shared evenly, with ``LEAST_ROWS`` to ``FIT_ROWS`` for each
-    language, the first by a hash of the id; each comes to the driver as FEATURES bits.
+    Every language is fitted. The bound: ``rows`` rows shared evenly, with ``LEAST_ROWS`` to ``rows_each`` for each
+    language, those with the smallest hashes of id and text, repeated rows once; each comes to the driver as FEATURES bits.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
-    rows_each = max(LEAST_ROWS, min(FIT_ROWS, ALL_ROWS // max(1, labelled.select("lang").distinct().count())))
-    ranked = labelled.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("rank"))
-    chosen = [r["doc_id"] for r in ranked.where(F.col("rank") <= rows_each).select("doc_id").collect()]
-    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(chosen))], "doc_id long")
-    rows = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text").mapInArrow(_bitmaps, "lang string, bits binary").collect()
-    rows.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
-    bits = np.array([np.frombuffer(r["bits"], np.uint8) for r in rows]).reshape(len(rows), FEATURES // 8)
-    return fit(bits, [r["lang"] for r in rows])
+    labelled = labelled.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    rows_each = max(LEAST_ROWS, min(rows_each, rows // max(1, labelled.select("lang").distinct().count())))
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = labelled.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= rows_each).select("lang", "h").distinct().collect()
+    wanted = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "lang string, h long")
+    sample = labelled.join(F.broadcast(wanted), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+    found = sample.select("lang", "text").mapInArrow(_bitmaps, "lang string, bits binary").collect()
+    found.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
+    bits = np.array([np.frombuffer(r["bits"], np.uint8) for r in found]).reshape(len(found), FEATURES // 8)
+    return fit(bits, [r["lang"] for r in found])
 
 
 def predict(model: Model, column: pa.Array, together: int = 256) -> tuple[list[str], list[float], list[bool]]:
@@ -241,6 +243,9 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     The scores of a text add up to 1 over the languages, so the best one says little of a text in none of them. A text
     stays if the share of its n-grams that the language's fitted rows have reaches the language's floor
     (``familiarity``). A missing ``lang`` becomes the language found.
+
+    Null and empty texts and texts without a letter go, as does everything if no row is labelled. Rows without id stay
+    if their text does; repeated rows are each judged alike. An empty table gives an empty result. Other columns stay.
     """
     model = fit_languages(docs, held_out_rows())
 

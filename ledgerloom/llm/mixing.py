@@ -2,33 +2,34 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerloom.llm.bytewise import slices, word_counts
 from ledgerloom.llm.staging import stage
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Ranges of keys within a source; each is sorted and summed by itself, so that a hot source is no single task.
 RANGES = 1024
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(word_counts(b.column(2)))], ["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(word_counts(b.column(2))), b.column(3)], ["doc_id", "source", "size", "name"])
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", "text").mapInArrow(_sizes, "doc_id long, source string, size long")
+    """doc_id, source, size and name of each row; the name is the id, or without one made from the text."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    return docs.select("doc_id", "source", "text", name.alias("name")).mapInArrow(_sizes, "doc_id long, source string, size long, name string")
 
 
 def exponential_key(weight: Column, seed: int) -> Column:
-    """-ln(u) / weight for a u in (0, 1) that only ``doc_id`` and the seed decide; the smallest keys are taken first."""
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
+    """-ln(u) / weight for a u in (0, 1) that only the row's name and the seed decide; the smallest keys are taken first."""
+    digest = F.md5(F.concat("name", F.lit(f":{seed}")).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
     return -F.ln(u) / weight
 
@@ -92,45 +93,33 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tupl
     return placed.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
 
 
-def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row as often as its words are taken whole, and once more cut after the words that are left."""
-    for batch in slices(batches):
-        names = [n for n in batch.schema.names if n not in ("__size", "__taken")]
-        kept, texts = [], []
-        for row, (size, taken) in enumerate(zip(batch.column("__size").to_pylist(), batch.column("__taken").to_pylist())):
-            text = batch.column("text")[row].as_py()
-            whole, rest = divmod(taken, size) if size else (0, 0)
-            kept += [row] * (whole + (rest > 0))
-            texts += [text] * whole + ([_cut(text, rest)] if rest else [])
-        at = pa.array(kept, pa.int64())
-        fresh = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
-        yield pa.RecordBatch.from_arrays([fresh[n] if n in fresh else batch.column(n).take(at) for n in names], names)
-
-
-def _cut(text: str, words: int) -> str:
-    """The text up to the end of its so-manieth word."""
-    for k, m in enumerate(_WORD.finditer(text), 1):
-        if k == words:
-            return text[: m.end()]
-    return text
-
-
 def mixed_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time that a document is taken.
 
-    Only the document at which a source's budget ends is cut. Rows without doc_id stay as they are, rows that repeat one
-    are each taken as often as the one of them that the mix takes most.
+    Documents stay whole: the one at which a source's budget ends is taken if half of its words or more are, so a source
+    misses its target by half a document at most. Rows without doc_id stay as they are and are no part of the budget;
+    rows that repeat an id and a number of words are each taken as often as the one of them that is taken most. Null and
+    empty texts have no words and go. An empty table gives an empty result.
     """
-    taken = mix_sources(docs.where(F.col("doc_id").isNotNull()), quality).groupBy("doc_id").agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
-    joined = docs.join(taken, "doc_id").select(*docs.columns, "__size", "__taken")
-    return joined.mapInArrow(_copies, docs.schema).unionByName(docs.where(F.col("doc_id").isNull()))
+    size, times = (name + "_" * sum(c.startswith(name) for c in docs.columns) for name in ("__size", "__times"))
+
+    def add_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(word_counts(batch.column("text")))], [*batch.schema.names, size])
+
+    known = docs.where(F.col("doc_id").isNotNull())
+    whole = F.floor(F.max("taken") / F.col("size") + 0.5).cast("int")
+    taken = mix_sources(known, quality).where("size > 0").groupBy("doc_id", "size").agg(whole.alias(times)).where(F.col(times) > 0).withColumnRenamed("size", size)
+    sized = known.mapInArrow(add_size, StructType([*docs.schema.fields, StructField(size, LongType())]))
+    copies = sized.join(taken, ["doc_id", size]).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return copies.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 ORACLE = r"""
 WITH votes AS (SELECT doc_id, avg(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 sized AS (
   SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':17'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+    -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null' || md5(coalesce(d.text, ''))) || ':17'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
       / (1.0 + 3.0 * least(greatest(coalesce(v.quality, 0.5), 0.0), 1.0)) AS key
   FROM documents d LEFT JOIN votes v USING (doc_id)),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),

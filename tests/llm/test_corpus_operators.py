@@ -234,13 +234,6 @@ def test_personal_data(spark, docs):
         assert r["spans"].count("email:") >= r["n_email"]
 
 
-def test_field_carries_labels_on(spark):
-    rows = [(i, f"call +1 (234) 555-{1000 + i} now, or {i} items at 555-{1000 + i} today") for i in range(40)]
-    model = personal.fit_field(spark.createDataFrame(rows, "doc_id long, text string"))
-    text = "5.6 mail jo.12@mail.example.com"
-    assert personal.added_spans(text, personal.base_spans(text), model) == [] and personal.redact("a b", [("ip", 2, 3)]) == "a [IP]"
-
-
 def test_token_counts(spark, docs):
     import public_tokenizers
 
@@ -309,6 +302,46 @@ def test_neighbours(spark):
     assert np.mean(hits) >= 0.9 and set(best) == set(range(0, 600, 20))
 
 
+def recall(spark, x, **more):
+    """Mean recall at 20 of ``nearest_neighbours`` over rows numbered in order."""
+    rows = spark.createDataFrame([(i, [float(v) for v in r], "x") for i, r in enumerate(x)], "vec_id long, embedding array<double>, row string")
+    got = defaultdict(list)
+    for r in neighbours.nearest_neighbours(rows, **more).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    hits = []
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        top = np.lexsort((np.arange(len(x)), -score))[:20]
+        assert len(got[q]) == len(set(got[q])) == 20
+        hits.append(len(set(top.tolist()) & set(got[q])) / 20)
+    return np.mean(hits)
+
+
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_neighbours_recall(spark, monkeypatch, spread):
+    """With the shipped settings, with equal and with very unequal lengths, and with files in parts."""
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(4000, 64))
+    x *= np.exp(spread * rnd.normal(size=(4000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(neighbours, "VECTOR_ROWS", 50)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 30)
+    assert recall(spark, x) >= 0.9
+
+
+def test_neighbours_are_exact_if_all_is_visited(spark):
+    assert recall(spark, np.random.default_rng(7).normal(size=(300, 8)), visits=256, least=300) == 1.0
+
+
+def test_neighbours_of_repeated_rows_and_lengths(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 1.0]), (40, [1.0, 2.0, 3.0]), (3, [1.0, 1.0, 1.0])]
+    found = neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    by_query = defaultdict(list)
+    for r in found.orderBy("query_id", "rank").collect():
+        by_query[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert by_query == {20: [(1, 1, 3.0), (2, 1, 3.0), (3, 2, 2.0)], 40: [(1, 3, 6.0)]}
+
+
 def test_language(spark, docs):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language.identify_languages(df).join(df.select("doc_id", "lang"), "doc_id").collect()
@@ -320,6 +353,33 @@ def test_language(spark, docs):
     assert all(0 <= r["score"] <= 1 for r in own)
 
 
+def test_mixed_documents_stay_whole(spark, docs):
+    found = Counter(tuple(r) for r in mixing.mixed_documents(docs, labels(spark)).collect())
+    rows = {tuple(r) for r in docs.collect()}
+    assert set(found) <= rows and found[next(r for r in rows if r[0] is None)] == 1
+    taken = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.mix_sources(docs.where("doc_id IS NOT NULL"), labels(spark)).collect()}
+    for row, n in found.items():
+        if row[0] is not None and row[0] != edge_rows()[5][0]:
+            size = len(WORD.findall(row[1]))
+            assert n == int(taken[row[0], size] / size + 0.5)
+    other = spark.createDataFrame([(1, "a b c", "s", 7, 3), (1, "a b c d e", "s", 7, 3), (2, "a", "t", 7, 3)], "doc_id long, text string, source string, __size int, __times int")
+    assert {tuple(r) for r in mixing.mixed_documents(other).collect()} <= {tuple(r) for r in other.collect()}
+
+
+def test_pipeline_stages_on_edge_rows(spark, docs, empty, tmp_path):
+    """Each stage on null, empty, repeated and clashing input, and on none."""
+    import corpus_pipeline
+
+    labels(spark, [(5, 1, 0)]).write.parquet(f"{tmp_path}/labels.parquet")
+    for name, function in corpus_pipeline.STAGES[:4]:
+        found = function(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns and found.count() >= 0, name
+        assert function(spark, empty, str(tmp_path)).count() == 0, name
+    assert {r["doc_id"] for r in language.keep_identified(docs).collect()}.isdisjoint({0, 1, 2})
+    kept = [r["doc_id"] for r in nearcopies.keep_one_of_each(docs).collect()]
+    assert kept.count(None) == 1 and len(kept) == len(set(kept))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
