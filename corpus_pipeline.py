@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import language, mixing, nearcopies, packing, personal
-from ledgerloom.llm.staging import stage
+from ledgerloom.llm.staging import own_folder, stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again; what a finished stage has read goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+    with own_folder(spark) as keep_only:
+        for name, function in STAGES:
+            docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+            if docs.inputFiles():
+                keep_only(docs)
     return docs
