@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FACTORS = ["quality", "value", "growth", "momentum", "risk"]
@@ -53,31 +53,32 @@ def flag_health(hard: Column, soft: Column, evaluable: Column, per_hard: float =
     return F.when(evaluable > 0, F.greatest(F.lit(0.0), 100.0 - hard * per_hard - soft * per_soft))
 
 
-def score(inputs: list[Input], policy: Policy, valuation_percentile: Column, hard_flag: Column) -> dict[str, Column]:
-    """The five factors, support, composite and band of a row.
+def score(rows: DataFrame, inputs: list[Input], policy: Policy, valuation_percentile: Column, hard_flag: Column) -> DataFrame:
+    """``rows`` with the five factors, support, composite, band and available (inputs).
 
     Momentum counts up to the support, less a penalty where the valuation is far up its own history; a price-driven
     part of risk too. Factors without inputs drop out and the others' weights are scaled up. The top band needs
-    support, and a hard flag holds the band down. Too few inputs give no composite.
+    support, and a hard flag holds the band down. Too few inputs give no composite. What later steps use more than once
+    is a column by then, so that expressions stay small.
     """
     def of(factor: str, price: bool | None = None) -> list[Column]:
         return [F.col(i.name) for i in inputs if i.factor == factor and price in (None, i.of_price)]
 
-    plain = {f: known_mean(of(f)) for f in SUPPORT}
-    support = known_mean(list(plain.values()))
-    held = F.coalesce(support, F.lit(0.0))
-    momentum = known_mean(of("momentum"))
-    credit = F.when(momentum.isNotNull(), F.least(momentum, held))
-    credit = F.when(valuation_percentile > policy.penalty_over_pct, F.greatest(F.lit(0.0), credit - policy.penalty)).otherwise(credit)
-    credit = F.when(momentum.isNotNull(), credit)
-    risk = known_mean([F.when(c.isNotNull(), F.least(c, held)) for c in of("risk", True)] + of("risk", False))
-    factors = plain | {"momentum": credit, "risk": risk}
-    weight = reduce(lambda a, b: a + b, [F.when(v.isNotNull(), F.lit(policy.weights[f])).otherwise(0.0) for f, v in factors.items()])
-    total = reduce(lambda a, b: a + b, [F.coalesce(policy.weights[f] * v, F.lit(0.0)) for f, v in factors.items()])
-    available = reduce(lambda a, b: a + b, [F.col(i.name).isNotNull().cast("int") for i in inputs])
-    enough = (weight > 0) & (available * 100 >= policy.min_input_pct * len(inputs))
-    composite = F.when(enough, total / weight)
-    supported = F.coalesce(support >= policy.support_floor, F.lit(False))
-    free = F.when(composite.isNull(), "insufficient_data").when((composite >= policy.top) & supported, "top").when(composite >= policy.upper, "upper").when(composite >= policy.hold, "hold").otherwise("weak")
-    band = F.when(F.coalesce(hard_flag, F.lit(False)) & free.isin("top", "upper"), "hold").otherwise(free)
-    return factors | {"support": support, "composite": composite, "band": band, "available": available}
+    col = F.col
+    rows = rows.withColumns({f: known_mean(of(f)) for f in SUPPORT} | {"__momentum": known_mean(of("momentum")), "__hard": F.coalesce(hard_flag, F.lit(False)), "__far": F.coalesce(valuation_percentile > policy.penalty_over_pct, F.lit(False))})
+    rows = rows.withColumn("support", known_mean([col(f) for f in SUPPORT])).withColumn("__held", F.coalesce("support", F.lit(0.0)))
+    credit = F.least("__momentum", "__held")
+    capped = {f"__{i.name}": F.when(col(i.name).isNotNull(), F.least(col(i.name), col("__held"))) for i in inputs if i.factor == "risk" and i.of_price}
+    rows = rows.withColumns({"__credit": F.when(col("__momentum").isNotNull(), credit), **capped})
+    credited = F.when(col("__far") & col("__credit").isNotNull(), F.greatest(F.lit(0.0), col("__credit") - policy.penalty)).otherwise(col("__credit"))
+    rows = rows.withColumns({"momentum": credited, "risk": known_mean([*(col(c) for c in capped), *of("risk", False)])})
+    weight = reduce(lambda a, b: a + b, [F.when(col(f).isNotNull(), F.lit(policy.weights[f])).otherwise(0.0) for f in FACTORS])
+    total = reduce(lambda a, b: a + b, [F.coalesce(policy.weights[f] * col(f), F.lit(0.0)) for f in FACTORS])
+    available = reduce(lambda a, b: a + b, [col(i.name).isNotNull().cast("int") for i in inputs])
+    rows = rows.withColumns({"__weight": weight, "__total": total, "available": available})
+    enough = (col("__weight") > 0) & (col("available") * 100 >= policy.min_input_pct * len(inputs))
+    rows = rows.withColumns({"composite": F.when(enough, col("__total") / col("__weight")), "__supported": F.coalesce(col("support") >= policy.support_floor, F.lit(False))})
+    composite = col("composite")
+    free = F.when(composite.isNull(), "insufficient_data").when((composite >= policy.top) & col("__supported"), "top").when(composite >= policy.upper, "upper").when(composite >= policy.hold, "hold").otherwise("weak")
+    rows = rows.withColumn("__band", free).withColumn("band", F.when(col("__hard") & col("__band").isin("top", "upper"), "hold").otherwise(col("__band")))
+    return rows.drop(*[c for c in rows.columns if c.startswith("__")])

@@ -74,12 +74,14 @@ def peer_median(values: DataFrame, cohort: str, value: str, least: int) -> DataF
 
 
 def cross_check(figures: DataFrame, keys: Sequence[str], source: str, value: str, priority: Sequence[str], tolerance_pct: float) -> DataFrame:
-    """Each figure against that of the most trusted source that has it: base, match, differs, or only for a lone one."""
+    """Each figure against that of the most trusted source that has it: base, match, differs, or only for a lone one.
+
+    A value other than zero differs from a base of zero."""
     own = Window.partitionBy(*keys)
     base = F.min(F.struct(source_rank(source, priority).alias("rank"), F.col(source).alias("name"), F.col(value).alias("value"))).over(own)
     ranked = figures.withColumn("__base", base).withColumn("__n", F.count("*").over(own))
-    gap = F.abs(F.col(value) - F.col("__base.value")) / F.abs(F.col("__base.value")) * 100
-    status = F.when(F.col("__n") == 1, "only").when(F.col(source) == F.col("__base.name"), "base").when(gap <= tolerance_pct, "match").otherwise("differs")
+    near = F.abs(F.col(value) - F.col("__base.value")) * 100 <= tolerance_pct * F.abs(F.col("__base.value"))
+    status = F.when(F.col("__n") == 1, "only").when(F.col(source) == F.col("__base.name"), "base").when(near, "match").otherwise("differs")
     return ranked.select(*keys, source, F.col("__base.name").alias("base"), status.alias("status"))
 
 

@@ -144,11 +144,11 @@ def gap_zones(bars: DataFrame, least_pct: float) -> DataFrame:
 
 
 def big_moves(bars: DataFrame, times: float = 2.0, n: int = 20) -> DataFrame:
-    """Moves beyond so many sample deviations of the n moves before."""
+    """Moves beyond so many sample deviations of the n moves before; a flat baseline gives none."""
     moved = bars.withColumn("move", daily_return())
     before = by_date().rowsBetween(-n, -1)
     limits = moved.select("security_id", "date", "move", F.stddev_samp("move").over(before).alias("sd"), F.count("move").over(before).alias("n"))
-    return limits.where((F.col("n") == n) & (F.abs("move") > times * F.col("sd"))).select("security_id", "date", "move", "sd")
+    return limits.where((F.col("n") == n) & (F.col("sd") > 0) & (F.abs("move") > times * F.col("sd"))).select("security_id", "date", "move", "sd")
 
 
 def breaks(bars: DataFrame, n: int = 252, volume_times: float = 2.5, volume_n: int = 20) -> DataFrame:

@@ -40,13 +40,21 @@ def max_drawdown(bars: DataFrame, lookback: int, least: int) -> DataFrame:
     return grouped.select("security_id", F.when(F.col("n") >= least, F.bround("worst", 4)).alias("max_drawdown_pct"))
 
 
-def regime(bars: DataFrame, n: int, on_pct: float, off_pct: float, least: int) -> DataFrame:
-    """One row: how many securities have ``n`` closes, the percentage of them above their mean, and the regime."""
+def regime(bars: DataFrame, index: DataFrame, n: int, on_pct: float, off_pct: float, least: int) -> DataFrame:
+    """One row: how many securities have ``n`` closes, the percentage of them above their mean, whether the index is
+    above its own (null for too few of its closes), and the regime: on or off only if both say so.
+
+    ``index`` is a series (date, close).
+    """
     last = bars.withColumns({"sma": ta.sma(n), "__k": F.row_number().over(Window.partitionBy("security_id").orderBy(F.desc("date")))}).where("__k = 1 and sma is not null")
     total = last.agg(F.count("*").alias("names"), F.sum(F.when(F.col("close") > F.col("sma"), 1).otherwise(0)).alias("above"))
-    breadth = F.when(F.col("names") > 0, 100.0 * F.col("above") / F.col("names"))
-    name = F.when(F.col("names") < least, "unavailable").when(breadth >= on_pct, "risk_on").when(breadth <= off_pct, "risk_off").otherwise("neutral")
-    return total.select("names", F.bround(breadth, 6).alias("breadth_pct"), name.alias("regime"))
+    newest = index.orderBy(F.desc("date")).limit(n).agg(F.count("close").alias("n"), F.avg("close").alias("mean"), F.max_by("close", "date").alias("close"))
+    above = F.when(F.col("n") == n, F.col("close") > F.col("mean"))
+    one = F.lit(1).alias("one")
+    both = total.select(one, "names", "above").join(newest.select(one, above.alias("index_above")), "one")
+    breadth = F.when(F.col("names") > 0, F.bround(100.0 * F.col("above") / F.col("names"), 8))
+    name = F.when(F.col("index_above").isNull() | (F.col("names") < least), "unavailable").when(F.col("index_above") & (breadth >= on_pct), "risk_on").when(~F.col("index_above") & (breadth <= off_pct), "risk_off").otherwise("neutral")
+    return both.select("names", F.bround(breadth, 6).alias("breadth_pct"), "index_above", name.alias("regime"))
 
 
 def newest_ingest(holdings: DataFrame, keys: Sequence[str], as_of: str) -> DataFrame:

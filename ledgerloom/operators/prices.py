@@ -26,12 +26,30 @@ def price_factors(actions: DataFrame, bars: DataFrame) -> DataFrame:
     return single.join(closes, ["security_id", "ex_date"]).select("security_id", "ex_date", "kind", factor.alias("factor"))
 
 
+def cumulative_factors(factors: DataFrame) -> DataFrame:
+    """Each action's date with the product of its factor and those of all later ones, by security; actions are few."""
+    dated = factors.where("factor IS NOT NULL").groupBy("security_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("ex_date", "factor")))).alias("a"))
+    start = F.struct(F.lit(1.0).alias("p"), F.array().cast("array<struct<ex_date:date,product:double>>").alias("out"))
+
+    def put(a, x):
+        p = a["p"] * x["factor"]
+        return F.struct(p.alias("p"), F.concat(a["out"], F.array(F.struct(x["ex_date"].alias("ex_date"), p.alias("product")))).alias("out"))
+
+    # of several actions on a day the last has the product of all
+    products = dated.select("security_id", F.posexplode(F.aggregate("a", start, put, lambda a: a["out"])).alias("k", "x"))
+    return products.groupBy("security_id", F.col("x.ex_date").alias("ex_date")).agg(F.max_by("x.product", "k").alias("product"))
+
+
 def adjusted_closes(bars: DataFrame, factors: DataFrame) -> DataFrame:
-    """close times the product of the factors of all later actions, from one window over bars and actions."""
-    events = bars.select("security_id", "date", "close", F.lit(1.0).alias("factor")).unionByName(factors.where("factor is not null").select("security_id", F.col("ex_date").alias("date"), F.lit(None).cast("double").alias("close"), "factor"))
-    later = Window.partitionBy("security_id").orderBy(F.datediff("date", F.lit("1970-01-01"))).rangeBetween(1, Window.unboundedFollowing)
-    product = F.aggregate(F.array_sort(F.collect_list(F.when(F.col("factor") != 1, F.struct("date", "factor"))).over(later)), F.lit(1.0), lambda a, x: a * x["factor"])
-    return events.withColumn("multiplier", product).where("close is not null").select("security_id", "date", "close", "multiplier", F.bround(F.col("close") * F.col("multiplier"), 6).alias("adj_close"))
+    """close times the product of the factors of all later actions.
+
+    Products are made over actions alone; a bar takes that of the next action after it, from one running window
+    backwards in time over both.
+    """
+    events = bars.select("security_id", "date", "close", F.lit(None).cast("double").alias("product")).unionByName(cumulative_factors(factors).select("security_id", F.col("ex_date").alias("date"), F.lit(None).cast("double").alias("close"), "product"))
+    later = Window.partitionBy("security_id").orderBy(-F.datediff("date", F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)
+    marked = events.withColumn("multiplier", F.coalesce(F.last("product", ignorenulls=True).over(later), F.lit(1.0)))
+    return marked.where("close is not null").select("security_id", "date", "close", "multiplier", F.bround(F.col("close") * F.col("multiplier"), 6).alias("adj_close"))
 
 
 def cross_source(primary: DataFrame, secondary: DataFrame, tolerance: float) -> DataFrame:

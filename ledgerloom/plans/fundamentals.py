@@ -132,7 +132,7 @@ def val_peer_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     "xc_compare",
     """WITH f AS (SELECT c_nationkey AS security_id, year(o_orderdate)::INT AS year, o_orderpriority AS source, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS value FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
     b AS (SELECT *, first_value(source) OVER w AS base, first_value(value) OVER w AS base_value, count(*) OVER (PARTITION BY security_id, year) AS n FROM f WINDOW w AS (PARTITION BY security_id, year ORDER BY source))
-    SELECT security_id, year, source, base, CASE WHEN n = 1 THEN 'only' WHEN source = base THEN 'base' WHEN abs(value - base_value) / abs(base_value) * 100 <= 25 THEN 'match' ELSE 'differs' END AS status FROM b""",
+    SELECT security_id, year, source, base, CASE WHEN n = 1 THEN 'only' WHEN source = base THEN 'base' WHEN abs(value - base_value) * 100 <= 25 * abs(base_value) THEN 'match' ELSE 'differs' END AS status FROM b""",
 )
 def xc_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("security_id")), "o_custkey")

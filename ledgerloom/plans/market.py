@@ -148,7 +148,7 @@ def rg_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
     "al_big_move",
     f"""WITH {BARS}, m AS (SELECT security_id, date, close / lag(close) {W}) - 1 AS move FROM bars),
     s AS (SELECT *, stddev_samp(move) {W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS sd, count(move) {W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS n FROM m)
-    SELECT security_id, date, round_even(move, 6) AS move, round_even(sd, 6) AS sd FROM s WHERE n = 20 AND abs(move) > 2.0 * sd""",
+    SELECT security_id, date, round_even(move, 6) AS move, round_even(sd, 6) AS sd FROM s WHERE n = 20 AND sd > 0 AND abs(move) > 2.0 * sd""",
 )
 def al_big_move(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ta.big_moves(bars(spark, sf_dir)).select("security_id", "date", r6(F.col("move")).alias("move"), r6(F.col("sd")).alias("sd"))

@@ -35,10 +35,11 @@ def sc_max_drawdown_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "rg_regime",
     f"""WITH {BARS}, {_SMA}, t AS (SELECT count(*) AS names, sum((close > sma)::INT)::BIGINT AS above FROM s WHERE k = 1 AND sma IS NOT NULL), b AS (SELECT names, CASE WHEN names > 0 THEN 100.0::DOUBLE * above / names END AS breadth FROM t)
-    SELECT names, round_even(breadth, 6) AS breadth_pct, CASE WHEN names < 20 THEN 'unavailable' WHEN breadth >= 60 THEN 'risk_on' WHEN breadth <= 40 THEN 'risk_off' ELSE 'neutral' END AS regime FROM b""",
+    , i AS (SELECT CASE WHEN count(*) = 50 THEN max_by(benchmark, date) > avg(benchmark) END AS index_above FROM (SELECT * FROM bench ORDER BY date DESC LIMIT 50))
+    SELECT names, round_even(breadth, 6) AS breadth_pct, index_above, CASE WHEN index_above IS NULL OR names < 20 THEN 'unavailable' WHEN index_above AND breadth >= 60 THEN 'risk_on' WHEN NOT index_above AND breadth <= 40 THEN 'risk_off' ELSE 'neutral' END AS regime FROM b, i""",
 )
 def rg_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.regime(bars(spark, sf_dir), 50, 60.0, 40.0, 20)
+    return monitor.regime(bars(spark, sf_dir), benchmark(spark, sf_dir).withColumnRenamed("benchmark", "close"), 50, 60.0, 40.0, 20)
 
 
 _ZONE = f"z AS (SELECT security_id, date, close, lag(close) {W}) AS before, min(low) {W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS low10, avg(close) {W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS high10 FROM bars)"

@@ -86,9 +86,12 @@ _TRADES = """trades AS (SELECT l_partkey AS key, CAST(l_shipdate AS DATE) AS dat
 
 @query(
     "mf_fifo_lots",
-    f"""WITH {_TRADES}, s AS (SELECT *, sum(quantity) OVER (PARTITION BY key ORDER BY date) AS running, sum(greatest(quantity, 0)) OVER (PARTITION BY key ORDER BY date) AS bought, sum(greatest(-quantity, 0)) OVER (PARTITION BY key) AS sold FROM trades WHERE quantity <> 0),
-    l AS (SELECT *, min(running) OVER (PARTITION BY key) AS lowest FROM s)
-    SELECT key, date, quantity, greatest(0, least(quantity, bought - sold)) AS "left", greatest(0, -lowest) AS oversold FROM l WHERE quantity > 0""",
+    f"""WITH RECURSIVE {_TRADES}, s AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY date) AS n FROM trades WHERE quantity <> 0),
+    b AS (SELECT key, n, greatest(quantity, 0) AS held, greatest(-quantity, 0) AS lack FROM s WHERE n = 1
+      UNION ALL SELECT s.key, s.n, greatest(b.held + s.quantity, 0), b.lack + greatest(-(b.held + s.quantity), 0) FROM b JOIN s ON s.key = b.key AND s.n = b.n + 1),
+    e AS (SELECT key, max_by(held, n) AS held, max_by(lack, n) AS lack FROM b GROUP BY 1),
+    a AS (SELECT s.*, coalesce(sum(greatest(quantity, 0)) OVER (PARTITION BY key ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later FROM s)
+    SELECT key, date, quantity, greatest(0, least(quantity, held - later)) AS "left", lack AS oversold FROM a JOIN e USING (key) WHERE quantity > 0""",
 )
 def mf_fifo_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).cast("decimal(18,2)")
@@ -238,60 +241,79 @@ def val_history_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     brand = F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string"))
-    return orders.select(F.col("o_orderkey").alias("call_id"), brand.alias("security_id"), F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderstatus") == "F", "SELL").otherwise("BUY").alias("verdict"))
+    verdict = F.when(F.col("o_orderstatus") == "F", "SELL").when(F.col("o_orderstatus") == "O", "BUY").otherwise("HOLD")
+    return orders.select(F.col("o_orderkey").alias("call_id"), brand.alias("security_id"), F.to_date("o_orderdate").alias("date"), verdict.alias("verdict"))
 
 
-_CALLS = """calls AS (SELECT o_orderkey AS call_id, 'Brand#' || (o_custkey % 25 + 1) AS security_id, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderstatus = 'F' THEN 'SELL' ELSE 'BUY' END AS verdict FROM orders)"""
-_SCORED = f"""WITH {BARS}, {_CALLS}, p AS (SELECT security_id, date, close, benchmark FROM bars JOIN bench USING (date)),
-  e AS (SELECT c.*, c.date + 91 AS target, p.date AS d0, p.close AS c0, p.benchmark AS b0 FROM calls c ASOF LEFT JOIN p ON c.security_id = p.security_id AND c.date >= p.date),
-  x AS (SELECT e.*, p.date AS d1, 100 * (p.close / c0 - 1) AS ret, 100 * (p.benchmark / b0 - 1) AS bm FROM e ASOF LEFT JOIN p ON e.security_id = p.security_id AND e.target >= p.date),
-  s AS (SELECT *, CASE WHEN target > DATE '2001-06-30' THEN 'pending' WHEN NOT coalesce(c0 IS NOT NULL AND date - d0 <= 7 AND target - d1 <= 7, false) THEN 'insufficient' ELSE 'scored' END AS status,
-    CASE verdict WHEN 'BUY' THEN 1 ELSE -1 END * (ret - bm) - 0.25::DOUBLE AS excess FROM x)"""
+_CALLS = """calls AS (SELECT o_orderkey AS call_id, 'Brand#' || (o_custkey % 25 + 1) AS security_id, CAST(o_orderdate AS DATE) AS date, CASE o_orderstatus WHEN 'F' THEN 'SELL' WHEN 'O' THEN 'BUY' ELSE 'HOLD' END AS verdict FROM orders)"""
+_SCORED = f"""WITH {BARS}, {_CALLS},
+  e AS (SELECT c.*, c.date + 91 AS target, p.date AS d0, p.close AS c0 FROM calls c ASOF LEFT JOIN bars p ON c.security_id = p.security_id AND c.date >= p.date),
+  f AS (SELECT e.*, b.date AS e0, b.benchmark AS b0 FROM e ASOF LEFT JOIN bench b ON e.d0 >= b.date),
+  g AS (SELECT f.*, p.date AS d1, p.close AS c1 FROM f ASOF LEFT JOIN bars p ON f.security_id = p.security_id AND f.target >= p.date),
+  h AS (SELECT g.*, b.date AS e1, b.benchmark AS b1 FROM g ASOF LEFT JOIN bench b ON g.target >= b.date),
+  l AS (SELECT security_id, max(date) AS last FROM bars GROUP BY 1),
+  x AS (SELECT h.*, coalesce(date - d0 <= 5 AND d0 - e0 <= 5 AND last >= target AND (SELECT max(date) FROM bench) >= target AND target - d1 <= 7 AND target - e1 <= 7 AND c0 > 0 AND b0 > 0, false) AS known FROM h LEFT JOIN l USING (security_id)),
+  y AS (SELECT *, CASE WHEN known THEN 'scored' WHEN DATE '2001-06-30' >= target + 7 THEN 'insufficient' ELSE 'pending' END AS status,
+    CASE WHEN known THEN round_even(100 * (c1 / c0 - 1), 4) END AS ret, CASE WHEN known THEN round_even(100 * (b1 / b0 - 1), 4) END AS bm FROM x),
+  s AS (SELECT *, round_even(CASE verdict WHEN 'BUY' THEN ret - bm - 0.25::DOUBLE WHEN 'SELL' THEN bm - ret END, 4) AS excess FROM y)"""
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = bars(spark, sf_dir).join(benchmark(spark, sf_dir), "date").select("security_id", "date", "close", "benchmark")
-    return ledger.score_calls(_calls(spark, sf_dir), levels, 13, "2001-06-30", 0.25, 7)
+    return ledger.score_calls(_calls(spark, sf_dir), bars(spark, sf_dir).select("security_id", "date", "close"), benchmark(spark, sf_dir), 13, "2001-06-30", 0.25, 7)
 
 
-@query(
-    "led_score_call",
-    _SCORED + " SELECT call_id, security_id, verdict, status, round_even(CASE WHEN status = 'scored' THEN ret END, 6) AS ret, round_even(CASE WHEN status = 'scored' THEN bm END, 6) AS benchmark, round_even(CASE WHEN status = 'scored' THEN excess END, 6) AS call_excess, CASE WHEN status = 'scored' THEN excess > 0 END AS hit FROM s",
-)
+@query("led_score_call", _SCORED + " SELECT call_id, security_id, verdict, status, ret, bm AS benchmark, excess AS call_excess, excess > 0 AS hit FROM s")
 def led_score_call(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).withColumns({c: r6(F.col(c)) for c in ("ret", "benchmark", "call_excess")})
+    return _scored(spark, sf_dir)
 
 
 @query(
     "card_build",
     _SCORED
-    + """, g AS (SELECT 'security_id' AS dimension, security_id AS member, * FROM s WHERE status = 'scored' UNION ALL SELECT 'verdict', verdict, * FROM s WHERE status = 'scored')
-    SELECT dimension, member, count(DISTINCT call_id) AS calls, round_even(100.0::DOUBLE * avg(CAST(excess > 0 AS INT)), 6) AS hit_pct, round_even(avg(excess), 6) AS mean_excess, round_even(median(excess), 6) AS median_excess, round_even(min(excess), 6) AS worst, count(DISTINCT call_id) >= 20 AS enough FROM g GROUP BY 1, 2""",
+    + """, m AS (SELECT 'security_id' AS dimension, security_id AS member, * FROM s UNION ALL SELECT 'verdict', verdict, * FROM s)
+    SELECT dimension, member, count(DISTINCT call_id) AS calls, count(DISTINCT call_id) FILTER (status = 'scored') AS scored, round_even(100.0::DOUBLE * avg(CAST(excess > 0 AS INT)), 6) AS hit_pct, round_even(avg(excess), 6) AS mean_excess, round_even(median(excess), 6) AS median_excess, round_even(min(excess), 6) AS worst, count(DISTINCT call_id) FILTER (status = 'scored') >= 20 AS enough FROM m GROUP BY 1, 2""",
 )
 def card_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.scorecard(_scored(spark, sf_dir), ["security_id", "verdict"], 20).withColumns({c: r6(F.col(c)) for c in ("hit_pct", "mean_excess", "median_excess", "worst")})
 
 
-@query("led_dedupe_calls")
+@query(
+    "led_dedupe_calls",
+    f"""WITH RECURSIVE {_CALLS}, d AS (SELECT security_id, verdict, date, max(call_id) AS call_id FROM calls GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY security_id, verdict ORDER BY date) AS n FROM d),
+    w AS (SELECT *, date AS head, true AS kept FROM r WHERE n = 1
+      UNION ALL SELECT r.*, CASE WHEN r.date < w.head + 91 THEN w.head ELSE r.date END, r.date >= w.head + 91 FROM w JOIN r ON r.security_id = w.security_id AND r.verdict = w.verdict AND r.n = w.n + 1)
+    SELECT security_id, verdict, date, call_id FROM w WHERE kept""",
+)
 def led_dedupe_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.fold_repeats(_calls(spark, sf_dir), 91)
 
 
-@query("cal_sessions", "SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5 AND CAST(d AS DATE) NOT IN (DATE '2024-01-01', DATE '2024-01-15', DATE '2024-02-19', DATE '2024-03-29', DATE '2024-05-27', DATE '2024-06-19', DATE '2024-07-04', DATE '2024-09-02', DATE '2024-11-28', DATE '2024-12-25')")
+_CLOSED = ["2024-01-01", "2024-01-15", "2024-02-19", "2024-03-29", "2024-05-27", "2024-06-19", "2024-07-04", "2024-09-02", "2024-11-28", "2024-12-25", "2025-01-01", "2025-01-09", "2025-01-20", "2025-02-17", "2025-04-18", "2025-05-26", "2025-06-19", "2025-07-04", "2025-09-01", "2025-11-27", "2025-12-25"]
+
+
+@query("cal_sessions", f"SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '2024-01-01', DATE '2025-12-31', INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5 AND CAST(d AS DATE) NOT IN ({', '.join(f"DATE '{d}'" for d in _CLOSED)})")
 def cal_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.sessions(spark, date(2024, 1, 1), date(2024, 12, 31), schedule.us_holidays(2024))
+    return schedule.sessions(spark, date(2024, 1, 1), date(2025, 12, 31), schedule.us_holidays(2024) + schedule.us_holidays(2025))
 
 
 @query(
     "al_hygiene",
-    """WITH a AS (SELECT event_id AS alert_id, event_type AS rule, user_id AS security_id, ts, CAST(ts AS DATE) AS day FROM events),
-    r AS (SELECT *, coalesce(day - lag(day) OVER (PARTITION BY rule, security_id ORDER BY ts, alert_id) < 5, false) AS rep FROM a),
-    t AS (SELECT *, sum(CASE WHEN rep THEN 0 ELSE 1 END) OVER (PARTITION BY day ORDER BY ts, alert_id ROWS UNBOUNDED PRECEDING) AS turn FROM r)
-    SELECT alert_id, rule, security_id, day, CASE WHEN rep THEN 'repeat' WHEN turn > 8 THEN 'capped' ELSE 'sent' END AS fate FROM t""",
+    f"""WITH a AS (SELECT event_id AS alert_id, event_type AS rule, user_id AS security_id, CAST(ts AS DATE) AS date FROM events),
+    t AS (SELECT max(date) AS today FROM a),
+    s AS (SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '2023-12-01', DATE '2024-12-31', INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5 AND CAST(d AS DATE) NOT IN ({', '.join(f"DATE '{d}'" for d in ["2023-12-25", *_CLOSED[:10]])})),
+    h AS (SELECT rule, security_id, max(date) AS last FROM a, t WHERE date < today - 6 GROUP BY 1, 2),
+    f AS (SELECT a.*, last, row_number() OVER (PARTITION BY rule, security_id ORDER BY alert_id) AS n FROM a LEFT JOIN h USING (rule, security_id), t WHERE date = today),
+    r AS (SELECT *, n > 1 OR coalesce((SELECT count(*) FROM s WHERE s.date > f.last AND s.date <= f.date) <= 5, false) AS again FROM f),
+    c AS (SELECT *, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (ORDER BY alert_id) AS turn FROM r)
+    SELECT alert_id, rule, security_id, date, CASE WHEN again THEN 'repeat' WHEN turn <= 8 THEN 'sent' ELSE 'cap' END AS fate FROM c""",
 )
 def al_hygiene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alerts = table(spark, sf_dir, "events").select(F.col("event_id").alias("alert_id"), F.col("event_type").alias("rule"), F.col("user_id").alias("security_id"), "ts")
-    return schedule.hygiene(alerts, 5, 8)
+    """The alerts of the last day against those that went out up to a week before it."""
+    alerts = table(spark, sf_dir, "events").select(F.col("event_id").alias("alert_id"), F.col("event_type").alias("rule"), F.col("user_id").alias("security_id"), F.to_date("ts").alias("date"))
+    today = alerts.agg(F.max("date")).first()[0]
+    days = schedule.sessions(spark, date(2023, 12, 1), date(2024, 12, 31), schedule.us_holidays(2023) + schedule.us_holidays(2024))
+    return schedule.hygiene(alerts.where(F.col("date") == F.lit(today)), alerts.where(F.col("date") < F.lit(today) - F.expr("INTERVAL 6 DAYS")), days, 5, 8)
 
 
 @query("quota_use", "SELECT event_type AS vendor, date_trunc('day', ts + INTERVAL 330 MINUTE)::DATE AS ist_day, count(*) AS calls, count(*) FILTER (value > 50) AS manual FROM events GROUP BY 1, 2")
@@ -322,12 +344,23 @@ def nw_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.classify(F.col("text"), _EVENT_RULES, "other").alias("event"))
 
 
-_MASKS = [("mail", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"), ("phone", "\\+[0-9][0-9 ().-]{7,}[0-9]"), ("number", "[0-9]{12,19}")]
+# the patterns that RE2 and Java read alike; what needs a look back is tested against Python's in tests
+_PLAIN = ("bearer", "sk_key", "pan", "email", "dp_id", "address")
 
 
-@query("redact_text", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[mail]', 'g'), '\+[0-9][0-9 ().-]{7,}[0-9]', '[phone]', 'g'), '[0-9]{12,19}', '[number]', 'g')) AS digest FROM documents")
+@query(
+    "redact_text",
+    r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'Bearer\s+[A-Za-z0-9._~+/=-]+', '[REDACTED]', 'g'), '\bsk-[A-Za-z0-9_-]{8,}', '[REDACTED]', 'g'), '(?i)\b[A-Z]{5}\d{4}[A-Z]\b', '[REDACTED]', 'g'),
+    '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', '[REDACTED]', 'g'), '\bIN\d{14}\b', '[REDACTED]', 'g'), '(?im)\baddress\s*:.*$', '[REDACTED]', 'g')) AS digest FROM documents""",
+)
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.redact(F.col("text"), _MASKS).cast("binary")).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.redact(F.col("text"), _PLAIN).cast("binary")).alias("digest"))
+
+
+@query("redact_all")
+def redact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All patterns in their order, and which of them a text has; SQL can't look back."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.redact(F.col("text")).cast("binary")).alias("digest"), F.array_join(text.identifiers(F.col("text")), ",").alias("found"))
 
 
 @query("figures", r"SELECT conv_id, turn, len(regexp_extract_all(text, '-?[0-9][0-9,]*(?:\.[0-9]+)?')) AS n FROM conversations")

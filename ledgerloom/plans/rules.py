@@ -33,8 +33,8 @@ def sc_score_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     raw = table(spark, sf_dir, "customer").select(key.alias("security_id"), *[F.when(key % n != 0, (key * k % 101).cast("double")).alias(c) for c, (k, n) in _RAW.items()], (key % 33 == 0).cast("int").alias("hard"), (key % 3).alias("soft"), (key % 7).alias("tested"))
     rows = raw.withColumn("health", composite.flag_health(F.col("hard"), F.col("soft"), F.col("tested")))
-    found = composite.score(_INPUTS, composite.LONG_TERM, F.col("pct"), (F.col("hard") > 0) & (F.col("tested") > 0))
-    return rows.select("security_id", *[r6(found[c]).alias(c) for c in ("quality", "momentum", "risk", "support", "composite")], found["band"].alias("band"))
+    found = composite.score(rows, _INPUTS, composite.LONG_TERM, F.col("pct"), (F.col("hard") > 0) & (F.col("tested") > 0))
+    return found.select("security_id", *[r6(F.col(c)).alias(c) for c in ("quality", "momentum", "risk", "support", "composite")], "band")
 
 
 _CASES = {

@@ -100,19 +100,30 @@ def position(key, kind, value, flag=None, tax=None):
     return {"key": key, "class": kind, "value": Decimal(value), "flag": flag, "tax_per_unit": None if tax is None else Decimal(tax)}
 
 
-def test_spread_adds_up():
-    assert rebalance.spread(Decimal("100"), {"a": Decimal(1), "b": Decimal(1), "c": Decimal(1)}) == {"a": Decimal("33.33"), "b": Decimal("33.33"), "c": Decimal("33.34")}
-    assert rebalance.spread(Decimal(0), {"a": Decimal(1)}) == {} and rebalance.spread(Decimal(5), {"a": Decimal(0)}) == {}
+def moves(spark, held, targets, band, cash, turnover, sold):
+    money = "decimal(28,4)"
+    rows = [("p", *(x[k] for k in ("class", "key", "value", "flag", "tax_per_unit"))) for x in held]
+    positions = spark.createDataFrame(rows, f"portfolio string, class string, key string, value {money}, flag string, tax_per_unit {money}")
+    wanted = spark.createDataFrame([("p", c, t) for c, t in targets.items()], f"portfolio string, class string, target_pct {money}")
+    settings = spark.createDataFrame([("p", *map(Decimal, (band, cash, turnover, sold)))], f"portfolio string, band {money}, cash {money}, turnover_pct {money}, sold {money}")
+    return [tuple(r)[2:] for r in rebalance.propose(positions, wanted, settings).orderBy("step").collect()]
 
 
-def test_moves():
+def test_moves(spark):
     targets = {"equity": Decimal(50), "debt": Decimal(50)}
     held = [position("x", "equity", 700, tax="0.1"), position("y", "equity", 100, "EXIT"), position("z", "debt", 200)]
-    found = rebalance.moves(held, targets, Decimal(5), Decimal(0), Decimal(100), Decimal(0))
-    assert found == [("reduce", "equity", "y", Decimal(100)), ("reduce", "equity", "x", Decimal(150)), ("add", "debt", None, Decimal(250))]
-    capped = rebalance.moves(held, targets, Decimal(5), Decimal(0), Decimal(20), Decimal(50))
-    assert capped == [("reduce", "equity", "y", Decimal(100)), ("reduce", "equity", "x", Decimal(50)), ("add", "debt", None, Decimal(150))]
-    assert rebalance.moves(held, targets, Decimal(5), Decimal(600), Decimal(0), Decimal(0)) == [("add", "debt", None, Decimal(600))]
-    assert rebalance.moves(held, {}, Decimal(5), Decimal(0), Decimal(20), Decimal(0)) == []
-    assert rebalance.moves([], targets, Decimal(5), Decimal(9), Decimal(20), Decimal(0)) == []
-    assert rebalance.moves([*held, position("g", "gold", 500)], targets, Decimal(50), Decimal(0), Decimal(20), Decimal(0)) == []
+    assert moves(spark, held, targets, 5, 0, 100, 0) == [("reduce", "equity", "y", Decimal(100)), ("reduce", "equity", "x", Decimal(150)), ("add", "debt", None, Decimal(250))]
+    assert moves(spark, held, targets, 5, 0, 20, 50) == [("reduce", "equity", "y", Decimal(100)), ("reduce", "equity", "x", Decimal(50)), ("add", "debt", None, Decimal(150))]
+    assert moves(spark, held, targets, 5, 600, 0, 0) == [("add", "debt", None, Decimal(600))]
+    assert moves(spark, held, {}, 5, 0, 20, 0) == []
+    assert moves(spark, [], targets, 5, 9, 20, 0) == []
+    assert moves(spark, [*held, position("g", "gold", 500)], targets, 50, 0, 20, 0) == []
+    # three equal weights of 100: the last by name takes the cent that the cuts leave
+    thirds = {c: Decimal(30) for c in "abc"}
+    even = [position(c, c, 100) for c in "abc"]
+    assert moves(spark, even, thirds, 90, 100, 0, 0) == [("add", "a", None, Decimal("33.33")), ("add", "b", None, Decimal("33.33")), ("add", "c", None, Decimal("33.34"))]
+    # reductions by trim, tax and unknown tax, over two classes, the one further over first
+    two = [position("q", "e", 500), position("r", "e", 300, tax="0.2"), position("s", "e", 200, tax="0.1"), position("t", "f", 700, "TRIM"), position("u", "g", 0)]
+    assert moves(spark, two, {"e": Decimal(20), "f": Decimal(20), "g": Decimal(60)}, 5, 0, 50, 0) == [
+        ("reduce", "e", "s", Decimal(200)), ("reduce", "e", "r", Decimal(300)), ("reduce", "e", "q", Decimal(75)), ("reduce", "f", "t", Decimal(275)), ("add", "g", None, Decimal(850)),
+    ]
