@@ -2,96 +2,124 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_right
+from dataclasses import dataclass
+from itertools import accumulate
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.staging import stage
 
-#: Copies of one text are numbered in so many separate cells, so that no task has to hold all copies.
+#: Rows of one range of hashes are numbered in so many separate cells, so that no task has to hold all copies of a text.
 CELLS = 256
+#: Bits of a hash by which a range is divided when a cut falls into it.
+FINER = 8
 
 
-def smallest_capacity(sizes: Column, shards: int) -> Column:
-    """The smallest capacity for which a greedy pass over an array of non-negative longs needs at most ``shards`` shards.
-
-    Bisection between the larger of mean and largest size, and their sum, for which a greedy pass always suffices.
-    """
-    zero = F.lit(0).cast("long")
-    largest = F.coalesce(F.array_max(sizes), zero)
-    mean = F.ceil(F.aggregate(sizes, zero, lambda a, x: a + x) / F.lit(shards)).cast("long")
-
-    def needed(capacity: Column) -> Column:
-        start = F.struct(zero.alias("filled"), F.lit(1).alias("used"))
-
-        def put(a: Column, x: Column) -> Column:
-            over = a["filled"] + x > capacity
-            return F.struct(F.when(over, x).otherwise(a["filled"] + x).alias("filled"), (a["used"] + F.when(over, 1).otherwise(0)).alias("used"))
-
-        return F.aggregate(sizes, start, put, lambda a: a["used"])
+@dataclass(frozen=True)
+class Piece:
+    """The texts whose hash, shifted right by ``shift``, is ``prefix``: their bytes, and whether they are several."""
 
-    def halve(a: Column, _: Column) -> Column:
-        middle = F.floor((a["low"] + a["high"]) / F.lit(2)).cast("long")
-        fits = needed(middle) <= shards
-        halved = F.struct(F.when(fits, a["low"]).otherwise(middle + 1).alias("low"), F.when(fits, middle).otherwise(a["high"]).alias("high"))
-        return F.when(a["low"] >= a["high"], a).otherwise(halved)
+    prefix: int
+    shift: int
+    size: int
+    several: bool
 
-    bounds = F.struct(F.greatest(mean, largest).alias("low"), (mean + largest).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(63)), bounds, halve, lambda a: a["high"])
+    @property
+    def first(self) -> int:
+        return self.prefix << self.shift
 
 
-def cut_points(sizes: Column, capacity: Column) -> Column:
-    """Positions (from 0) of the sizes that a greedy pass of ``capacity`` puts first into each shard but the first."""
-    start = F.struct(F.lit(0).cast("long").alias("filled"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
+def greedy_cuts(before: list[int], capacity: int, shards: int) -> tuple[list[int], bool]:
+    """Positions of the pieces that a greedy pass puts first into each shard but the first, and whether all fit.
 
-    def put(a: Column, x: Column) -> Column:
-        over = a["filled"] + x > capacity
-        return F.struct(
-            F.when(over, x).otherwise(a["filled"] + x).alias("filled"),
-            (a["at"] + 1).alias("at"),
-            F.when(over, F.concat(a["cuts"], F.array(a["at"]))).otherwise(a["cuts"]).alias("cuts"),
-        )
-
-    return F.aggregate(sizes, start, put, lambda a: a["cuts"])
+    ``before``: bytes before each piece, and of all at the end. A pass that doesn't fit ends with the piece at which it
+    fails.
+    """
+    cuts: list[int] = []
+    at = 0
+    while (end := bisect_right(before, before[at] + capacity) - 1) < len(before) - 1:
+        cuts.append(end)
+        if end == at or len(cuts) == shards:
+            return cuts, False
+        at = end
+    return cuts, True
+
+
+def smallest_capacity(before: list[int], shards: int) -> int:
+    """By bisection between the mean and the sum, the smallest capacity for which a greedy pass fits."""
+    low, high = -(-before[-1] // shards), before[-1]
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if greedy_cuts(before, middle, shards)[1] else (middle + 1, high)
+    return low
+
+
+def pieces_of(rows: DataFrame, shift: int, prefixes: list[int] | None = None) -> list[Piece]:
+    """Pieces of ``rows`` (hash, size), or of those under ``prefixes`` with FINER bits more: a bounded number of them."""
+    finer = shift - FINER if prefixes is not None else shift
+    found = rows if prefixes is None else rows.where(F.shiftright("hash", shift).isin(prefixes))
+    sums = found.groupBy(F.shiftright("hash", finer).alias("prefix")).agg(F.sum("size").alias("size"), (F.min("hash") < F.max("hash")).alias("several"))
+    return [Piece(r["prefix"], finer, r["size"], r["several"]) for r in sums.collect()]
+
+
+def minimax_cuts(rows: DataFrame, shards: int, bits: int) -> list[int]:
+    """The first hash of each shard but the first, for the smallest capacity over single texts in order of their hash.
+
+    Pieces begin as ``2**bits`` ranges of hashes. The pieces at which the greedy pass cuts, with the capacity found and
+    with one byte less, are divided until each is one text: then finer pieces elsewhere would change neither pass, so
+    the one fits and the other doesn't for single texts either. A round divides at most ``2 * shards`` pieces, so the
+    table of sizes that the driver holds grows by ``2 * shards * 2**FINER`` numbers a round.
+    """
+    pieces = sorted(pieces_of(rows, 64 - bits), key=lambda p: p.first)
+    while pieces:
+        before = [0, *accumulate(p.size for p in pieces)]
+        capacity = smallest_capacity(before, shards)
+        cuts, _ = greedy_cuts(before, capacity, shards)
+        met = {*cuts, *greedy_cuts(before, capacity - 1, shards)[0]}
+        coarse = {pieces[i] for i in met if pieces[i].several}
+        if not coarse:
+            return [pieces[i].first for i in cuts]
+        pieces = [p for p in pieces if p not in coarse]
+        for shift in {p.shift for p in coarse}:
+            pieces += pieces_of(rows, shift, [p.prefix for p in coarse if p.shift == shift])
+        pieces.sort(key=lambda p: p.first)
+    return []
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, overhead: int = 8, bucket_bits: int = 16) -> DataFrame:
     """Put every row into a shard so that shard sizes in bytes are near equal and equal texts stay together.
 
-    Atomic groups are the ``2**bucket_bits`` ranges of a 64-bit hash of the text, in order of the hash; all copies of a
-    text are in one. The law is ``bytes``: the largest shard is the smallest possible for that order. What reaches one
-    row is the table of group sizes, at most ``2**bucket_bits`` numbers at any input size.
+    Atomic groups are the rows of one text, in order of a 64-bit hash of it. The law is ``bytes``: the largest shard is
+    the smallest possible for that order (``minimax_cuts``). Slots count within ranges of hashes first, and then over
+    the table of ranges, so no task numbers a whole shard.
 
-    A null text has no bytes and shares the group of the empty text; its CRC is 0. Repeated rows each get a slot. Null
-    ids sort first among copies. An empty table gives an empty result. Other columns of ``docs`` are ignored.
+    A null text has no bytes and shares the group of the empty text; its CRC is 0. Repeated rows each get a slot. An
+    empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = stage(
-        docs.select(
-            "doc_id",
-            (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(text).alias("hash"),
-        ).withColumn("bucket", F.shiftrightunsigned("hash", 64 - bucket_bits)),
-        "shard-rows",
+    rows = docs.select(
+        "doc_id",
+        (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("hash"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    cell = F.pmod(F.xxhash64("doc_id", "hash"), F.lit(CELLS)).cast("int")
-    rows = rows.withColumn("cell", cell)
-    cells = stage(rows.groupBy("bucket", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "shard-cells")
-    buckets = cells.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-
-    groups = buckets.agg(F.array_sort(F.collect_list(F.struct("bucket", "bytes"))).alias("g")).select(F.col("g.bucket").alias("buckets"), F.col("g.bytes").alias("sizes"))
-    capped = groups.withColumn("capacity", smallest_capacity(F.col("sizes"), shards))
-    # at most shards - 1 numbers reach the driver: the first bucket of each later shard
-    first = capped.select("buckets", cut_points(F.col("sizes"), F.col("capacity")).alias("cuts")).select(F.transform("cuts", lambda c: F.get("buckets", c)).alias("first")).first()["first"]
-
-    shard = sum((F.when(F.col("bucket") >= F.lit(b), 1).otherwise(0) for b in first), F.lit(0)).cast("int")
+    # rows of one text and id, too, are spread over cells
+    rows = rows.withColumns({"bucket": F.shiftright("hash", 64 - bucket_bits), "cell": F.pmod(F.xxhash64("row"), F.lit(CELLS)).cast("int")})
+    rows = stage(rows, "shard-rows")
+    shard = sum((F.when(F.col("hash") >= F.lit(b), 1).otherwise(0) for b in minimax_cuts(rows, shards, bucket_bits)), F.lit(0)).cast("int")
+    rows = rows.withColumn("shard", shard)
+    cells = stage(rows.groupBy("shard", "bucket", "cell").agg(F.count("*").alias("n")), "shard-cells")
+    buckets = cells.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
     before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    bases = buckets.withColumn("shard", shard).select("bucket", "shard", F.coalesce(F.sum("n").over(before("shard", "bucket")), F.lit(0)).alias("base"))
-    within = cells.select("bucket", "cell", F.coalesce(F.sum("n").over(before("bucket", "cell")), F.lit(0)).alias("in_bucket"))
-    places = within.join(bases, "bucket").select("bucket", "cell", "shard", (F.col("base") + F.col("in_bucket")).alias("base"))
-    own = F.row_number().over(Window.partitionBy("bucket", "cell").orderBy("hash", "doc_id", "size")) - 1
+    bases = buckets.select("shard", "bucket", F.coalesce(F.sum("n").over(before("shard", "bucket")), F.lit(0)).alias("base"))
+    within = cells.select("shard", "bucket", "cell", F.coalesce(F.sum("n").over(before("shard", "bucket", "cell")), F.lit(0)).alias("in_bucket"))
+    places = within.join(bases, ["shard", "bucket"]).select("shard", "bucket", "cell", (F.col("base") + F.col("in_bucket")).alias("base"))
+    own = F.row_number().over(Window.partitionBy("shard", "bucket", "cell").orderBy("hash", "doc_id", "row")) - 1
     return (
         rows.withColumn("own", own)
-        .join(places, ["bucket", "cell"])
+        .join(places, ["shard", "bucket", "cell"])
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("own")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on rows that are null, empty, repeated, tied or clash in names."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -158,22 +159,36 @@ def test_sharding(spark, docs):
         assert all(len(s) == 1 for s in shards.values())
 
 
-@pytest.mark.parametrize("shards", [1, 2, 5])
-def test_smallest_capacity(spark, shards):
-    from pyspark.sql import functions as F
-
-    rnd = random.Random(shards)
-    sizes = [rnd.randint(0, 30) for _ in range(25)]
-
+def brute_capacity(sizes, shards):
     def needed(c):
         used, filled = 1, 0
         for s in sizes:
             used, filled = (used + 1, s) if filled + s > c else (used, filled + s)
         return used
 
-    wanted = next(c for c in range(max(sizes), sum(sizes) + 1) if needed(c) <= shards)
-    df = spark.createDataFrame([(sizes,)], "s array<long>")
-    assert df.select(sharding.smallest_capacity(F.col("s"), shards)).first()[0] == wanted
+    return next(c for c in range(max(sizes), sum(sizes) + 1) if needed(c) <= shards)
+
+
+@pytest.mark.parametrize("shards", [1, 2, 5, 40])
+def test_smallest_capacity(shards):
+    rnd = random.Random(shards)
+    sizes = [rnd.randint(1, 30) for _ in range(25)]
+    before = [0, *itertools.accumulate(sizes)]
+    capacity = sharding.smallest_capacity(before, shards)
+    assert capacity == brute_capacity(sizes, shards) and sharding.greedy_cuts(before, capacity, shards)[1]
+
+
+@pytest.mark.parametrize("bits", [1, 3, 16])
+def test_shards_are_minimal_over_single_texts(spark, bits):
+    """However coarse the first ranges are, the largest shard is the least over groups of equal texts."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(bits)
+    rows = [(i, "x" * rnd.randint(0, 400) + str(rnd.randint(0, 120))) for i in range(300)] + [(i, "hot" * 50) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = df.groupBy(F.xxhash64("text").alias("h")).agg(F.sum(F.octet_length("text") + 8).alias("s")).orderBy("h").collect()
+    found = sharding.shard_documents(df, shards=7, bucket_bits=bits).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    assert max(r["s"] for r in found) == brute_capacity([r["s"] for r in groups], 7)
 
 
 def test_packing(spark, docs):
