@@ -45,3 +45,28 @@ def lot_tax(price: Column, cost: Column, quantity: Column, days: Column, long_da
 def exit_load(value: Column, held_days: Column, percent: float, days: int) -> Column:
     """The load on a lot that is held for fewer days."""
     return F.when(held_days < days, value * percent / 100).otherwise(0.0)
+
+
+def triggers(c: dict[str, Column], percentile_floor: float, sessions: int) -> dict[str, Column]:
+    """Six rules, each triggered, clear, not_evaluable or not_applicable.
+
+    ``c``: ``met`` and ``unknown`` (numbers of kill criteria; null without a thesis), ``revenue_falls`` and
+    ``margin_falls`` (booleans over the last quarters), ``percentile``, ``revisions``, ``position``, ``max_position``,
+    ``sector``, ``max_sector``, ``positional``, ``below`` (sessions under the average), ``rs_change``.
+    """
+    def rule(*cases: tuple[Column, str], otherwise: str) -> Column:
+        out = F.lit(otherwise)
+        for condition, state in reversed(cases):
+            out = F.when(F.coalesce(condition, F.lit(False)), state).otherwise(out)
+        return out
+
+    unknown = "not_evaluable"
+    return {
+        "thesis": rule((c["met"].isNull(), unknown), (c["met"] > 0, "triggered"), (c["unknown"] > 0, unknown), otherwise="clear"),
+        "operations": rule((c["revenue_falls"].isNull() | c["margin_falls"].isNull(), unknown), (c["revenue_falls"] & c["margin_falls"], "triggered"), otherwise="clear"),
+        "valuation": rule((c["percentile"].isNull(), unknown), (c["percentile"] <= percentile_floor, "clear"), (c["revisions"].isNull(), unknown), (c["revisions"] <= 0, "triggered"), otherwise="clear"),
+        "limits": rule((c["position"] > c["max_position"], "triggered"), (c["sector"] > c["max_sector"], "triggered"), (c["position"].isNull() | c["sector"].isNull(), unknown), otherwise="clear"),
+        "trend": rule((~c["positional"], "not_applicable"), (c["below"].isNull(), unknown), (c["below"] < sessions, "clear"), (c["rs_change"].isNull(), unknown), (c["rs_change"] < 0, "triggered"), otherwise="clear"),
+        # what else the money could do isn't known to a review
+        "alternative": F.lit(unknown),
+    }
