@@ -111,7 +111,7 @@ def tx_cheapest_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.cheapest_lots(lots, wanted).select("key", "lot_id", F.col("taken").cast("double").alias("taken"), r6(F.col("tax")).alias("tax"))
 
 
-_FUNDS = """h0 AS (SELECT l_suppkey AS fund, l_partkey % 40 AS isin, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS v FROM lineitem WHERE l_suppkey <= 30 GROUP BY 1, 2),
+_FUNDS = """h0 AS (SELECT l_suppkey AS fund, l_partkey % 40 AS isin, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS v FROM lineitem GROUP BY 1, 2),
 holdings AS (SELECT fund, isin, v, 100.0::DOUBLE * v / sum(v) OVER (PARTITION BY fund) AS weight FROM h0)"""
 
 

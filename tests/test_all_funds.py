@@ -1,4 +1,4 @@
-"""The fund queries over every supplier, against brute force: their SQL stops at supplier 30."""
+"""The fund queries over every supplier of a small fixture, against brute force."""
 
 from collections import defaultdict
 
