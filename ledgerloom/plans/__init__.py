@@ -1,6 +1,6 @@
 """Queries over the test tables; importing the modules registers them."""
 
-from ledgerloom.plans import filings, fundamentals, funds, market, monitoring, portfolio, reads, rules, technical, universe
+from ledgerloom.plans import checks, filings, fundamentals, funds, market, monitoring, portfolio, reads, returns, rules, technical, universe
 from ledgerloom.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "filings", "fundamentals", "funds", "market", "monitoring", "portfolio", "reads", "rules", "technical", "universe"]
+__all__ = ["ORACLE_SQL", "QUERIES", "checks", "filings", "fundamentals", "funds", "market", "monitoring", "portfolio", "reads", "returns", "rules", "technical", "universe"]

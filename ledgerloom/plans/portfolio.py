@@ -71,16 +71,6 @@ def xr_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("portfolio", "positions", *[r6(F.col(c)).alias(c) for c in ("top_share", "hhi", "effective")])
 
 
-@query("rt_xirr")
-def rt_xirr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as payments; the last day returns 1.2 times what was paid."""
-    orders = table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").alias("amount"))
-    paid = orders.select("o_custkey", "date", (-F.col("amount")).alias("amount"))
-    back = orders.groupBy("o_custkey").agg(F.date_add(F.max("date"), 30).alias("date"), (1.2 * F.sum("amount")).alias("amount"))
-    found = portfolio.xirr(paid.unionByName(back), "o_custkey")
-    return found.select("o_custkey", F.bround("rate", 5).alias("rate"), "reason")
-
-
 _TRADES = """trades AS (SELECT l_partkey AS key, CAST(l_shipdate AS DATE) AS date, sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END::DECIMAL(18,2))::DOUBLE AS quantity FROM lineitem GROUP BY 1, 2)"""
 
 
