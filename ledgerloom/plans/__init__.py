@@ -1,6 +1,6 @@
 """Queries over the test tables; importing the modules registers them."""
 
-from ledgerloom.plans import checks, filings, fundamentals, funds, market, monitoring, portfolio, reads, returns, rules, technical, universe, valuation
+from ledgerloom.plans import checks, filings, fundamentals, funds, market, monitoring, portfolio, reads, records, returns, rules, technical, universe, valuation
 from ledgerloom.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "checks", "filings", "fundamentals", "funds", "market", "monitoring", "portfolio", "reads", "returns", "rules", "technical", "universe", "valuation"]
+__all__ = ["ORACLE_SQL", "QUERIES", "checks", "filings", "fundamentals", "funds", "market", "monitoring", "portfolio", "reads", "records", "returns", "rules", "technical", "universe", "valuation"]
