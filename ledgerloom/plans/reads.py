@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.stats import r6
 from ledgerloom.operators import pit, review, stored
 from ledgerloom.plans.bindings import BARS, bars
 from ledgerloom.plans.registry import query, table
@@ -66,12 +65,12 @@ def list_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {BARS}, s AS (SELECT security_id, CAST(date_trunc('month', min(date)) AS DATE) AS a, max(date) AS b FROM bars GROUP BY 1),
     d AS (SELECT security_id, last_day(CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE)) AS month_end FROM s),
     f AS (SELECT d.security_id, d.month_end, b.date, b.close FROM d ASOF JOIN bars b ON d.security_id = b.security_id AND d.month_end >= b.date)
-    SELECT security_id, month_end, date, round_even(close, 6) AS close FROM f WHERE month_end - date <= 10""",
+    SELECT security_id, month_end, date, close FROM f WHERE month_end - date <= 10""",
 )
 def price_on_month_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = bars(spark, sf_dir).select("security_id", "date", "close")
     days = own.groupBy("security_id").agg(F.min("date").alias("a"), F.max("date").alias("b")).select("security_id", F.explode(F.sequence(F.trunc("a", "month"), "b", F.expr("INTERVAL 1 MONTH"))).alias("m")).select("security_id", F.last_day("m").alias("month_end"))
-    return stored.price_on_month_end(own, days).withColumn("close", r6(F.col("close")))
+    return stored.price_on_month_end(own, days)
 
 
 @query(
