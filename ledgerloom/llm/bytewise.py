@@ -93,6 +93,16 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(np.add.reduceat(value, heads)), row_words
 
 
+def string_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each string of a column, none of which is empty; ``starts`` has one entry more than there are."""
+    if len(starts) < 2:
+        return np.zeros(0, np.uint64)
+    size = np.diff(starts)
+    inside = np.arange(starts[0], starts[-1]) - np.repeat(starts[:-1], size)
+    power = np.cumprod(np.full(int(size.max()) + 1, _BASE, np.uint64), dtype=np.uint64)
+    return mix(np.add.reduceat(_BYTE_VALUE[data[starts[0] : starts[-1]]] * power[inside], starts[:-1] - starts[0]))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values in which every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
