@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import collocations, hardnegatives, language, mixing, nearcopies, neighbours, packing, personal, quality, repeats, sharding, tokencount
+from ledgerloom.llm import collocations, hardnegatives, language, mixing, nearcopies, neighbours, packing, personal, quality, repeats, sharding, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_phrases(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_language_id": op10_language_id,
+    "op11_toxicity": op11_toxicity,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_hard_negatives": op13_hard_negatives,
 }
