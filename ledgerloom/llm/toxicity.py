@@ -17,7 +17,7 @@ from ledgerloom.llm.staging import stage
 #: Labelled rows of each class that are learned from, about; and parts of the text that are counted together.
 TOXIC_ROWS, ORDINARY_ROWS, TOGETHER = 6_000, 24_000, 4 << 20
 #: Share of a toxic text's words that come from the toxic model; the rest is like ordinary text.
-SHARE = 0.01
+SHARE = 0.003
 #: An expression with one history only says nothing of its class: that much goes to the shared counts.
 DISCOUNT = 1.0
 #: Words of the model in one block of document counts.
