@@ -19,9 +19,11 @@ UNKNOWN = "und"
 #: Text bytes whose n-grams are counted together before they go to a sketch or to the exact count.
 TOGETHER = 4 << 20
 #: Rows of a sketch; cells of a block of it; least and most cells of a row, and text bytes for each cell between.
-DEPTH, BLOCK, LEAST_CELLS, MOST_CELLS, BYTES_EACH = 2, 1 << 15, 1 << 16, 1 << 26, 128
+DEPTH, BLOCK, LEAST_CELLS, MOST_CELLS, BYTES_EACH = 2, 1 << 15, 1 << 16, 1 << 26, 256
 #: Sketches at most: partitions are joined beyond, so that what is merged doesn't grow without limit.
 SKETCHES = 4096
+#: Counted n-grams that a task adds up before it hands them over.
+HELD = 1_000_000
 #: Parts into which a language's phrases fall before its first ones are taken.
 PARTS = 64
 
@@ -140,11 +142,15 @@ def _lang_hashes(langs: pa.Array) -> np.ndarray:
     return string_hashes(np.frombuffer(b"".join(names), np.uint8), np.cumsum([0, *map(len, names)]))
 
 
+def _kind(least: int):
+    return np.min_scalar_type(least)
+
+
 def _sketch(width: int, least: int, shortest: int, longest: int, sieve):
     """Count-min sketches of a task's n-grams: blocks of counts, each ``least`` at most, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((DEPTH, width), np.uint16)
+        counts = np.zeros((DEPTH, width), _kind(least))
         test = (lambda n, h: sieve.value.passes(h) if n <= 2 else None) if sieve else (lambda n, h: None)
         for data, starts, row_langs, langs in _parts(batches):
             for found in grams(data, starts, row_langs, _lang_hashes(langs), longest, test):
@@ -155,7 +161,7 @@ def _sketch(width: int, least: int, shortest: int, longest: int, sieve):
                     order = np.argsort(cells)
                     heads = np.flatnonzero(np.diff(cells[order], prepend=-1))
                     hit = cells[order][heads]
-                    counts[row, hit] = np.minimum(counts[row, hit] + np.add.reduceat(found.counts[order], heads), least)
+                    counts[row, hit] = np.minimum(counts[row, hit].astype(np.int64) + np.add.reduceat(found.counts[order], heads), least)
         for row in range(DEPTH):
             for k in range(0, width, BLOCK):
                 block = counts[row, k : k + BLOCK]
@@ -171,7 +177,7 @@ def _merged(least: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)
         for part in table.column("counts"):
-            total += np.frombuffer(zlib.decompress(part.as_py()), np.uint16)
+            total += np.frombuffer(zlib.decompress(part.as_py()), _kind(least))
         return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
 
     return run
@@ -188,22 +194,37 @@ def _sieve(texts: DataFrame, width: int, least: int, shortest: int, longest: int
 
 
 def _survivors(short, long, longest: int):
-    """Counts of the n-grams that pass, and, with length 0, of all words of a language."""
+    """Counts of the n-grams that pass, and, with length 0, of all words of a language; a task adds up ``HELD`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = lambda n, h: (short if n <= 2 else long).value.passes(h)
+        held: list[pa.RecordBatch] = []
         for data, starts, row_langs, langs in _parts(batches):
             for found in grams(data, starts, row_langs, _lang_hashes(langs), longest, test):
                 if found.length == 1:
                     words = np.bincount(found.langs, found.counts, len(langs)).astype(np.int64)
-                    yield _counted(langs, 0, pa.array([""] * len(langs)), words)
+                    held.append(_counted(langs, 0, pa.array([""] * len(langs)), words))
                 kept = np.flatnonzero(test(found.length, found.hashes))
                 if len(kept):
-                    yield _counted(langs.take(pa.array(found.langs[kept])), found.length, found.names(kept), found.counts[kept])
+                    held.append(_counted(langs.take(pa.array(found.langs[kept])), found.length, found.names(kept), found.counts[kept]))
+            if sum(map(len, held)) > HELD:
+                held = _summed(held)
+                if sum(map(len, held)) > HELD // 2:
+                    yield from held
+                    held = []
+        yield from _summed(held)
 
     return run
 
 
+def _summed(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """One row for each language, length and phrase."""
+    if not held:
+        return []
+    total = pa.Table.from_batches(held).group_by(["lang", "length", "phrase"]).aggregate([("a", "sum")])
+    return total.select([0, 1, 2, 3]).rename_columns(["lang", "length", "phrase", "a"]).combine_chunks().to_batches()
+
+
 def _counted(langs: pa.Array, length: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(counts), length, np.int32)), phrases, pa.array(counts.astype(np.int64))], ["lang", "length", "phrase", "a"])
 
