@@ -22,6 +22,8 @@ TOGETHER = 4 << 20
 DEPTH, BLOCK, LEAST_CELLS, MOST_CELLS, BYTES_EACH = 2, 1 << 15, 1 << 16, 1 << 26, 256
 #: Sketches at most: partitions are joined beyond, so that what is merged doesn't grow without limit.
 SKETCHES = 4096
+#: Text bytes that a task takes at least, where that leaves one for each core: larger tasks add up more before a shuffle.
+TASK_BYTES = 1 << 26
 #: Counted n-grams that a task adds up before it hands them over.
 HELD = 1_000_000
 #: Parts into which a language's phrases fall before its first ones are taken.
@@ -239,6 +241,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> Dat
     """
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = texts.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))
     width = min(MOST_CELLS, max(LEAST_CELLS, 1 << (size // BYTES_EACH).bit_length()))
     short = _sieve(texts, width, least, 1, 2)
     long = _sieve(texts, width, least, 3, longest, short) if longest > 2 else short

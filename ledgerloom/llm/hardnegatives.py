@@ -70,11 +70,18 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _partial_tile(key: tuple, table: pa.Table) -> pa.Table:
-    """The product of one chunk of an anchor block and of a row block; ids and labels go with the first chunk."""
-    one, other = (next(r for r in table.to_pylist() if r["side"] == side) for side in ("a", "b"))
+    """The product of one chunk of an anchor block and of a row block; ids and labels go with the first chunk.
+
+    None, if all anchors of the block have no positives, and so aren't there.
+    """
+    sides = {r["side"]: r for r in table.to_pylist()}
+    schema = pa.schema([("i", pa.int32()), ("j", pa.int32()), *((n, pa.binary()) for n in ("a_ids", "a_labels", "b_ids", "b_labels", "scores", "positives", "tile"))])
+    if len(sides) < 2:
+        return schema.empty_table()
+    one, other = sides["a"], sides["b"]
     a, b = (np.frombuffer(x["matrix"], "<i4").reshape(x["size"], CHUNK) for x in (one, other))
     row = {"i": key[0].as_py(), "j": key[1].as_py(), "a_ids": one["ids"], "a_labels": one["labels"], "b_ids": other["ids"], "b_labels": other["labels"], "scores": one["scores"], "positives": one["positives"], "tile": product(a, b).tobytes()}
-    return pa.Table.from_pylist([row], pa.schema([("i", pa.int32()), ("j", pa.int32()), *((n, pa.binary()) for n in ("a_ids", "a_labels", "b_ids", "b_labels", "scores", "positives", "tile"))]))
+    return pa.Table.from_pylist([row], schema)
 
 
 def _summed(table: pa.Table) -> tuple[np.ndarray, dict[str, np.ndarray]]:

@@ -31,7 +31,7 @@ def against_sql(spark, name, sf=SF):
 def brute_phrases(rows, least, longest, top):
     counts, words = defaultdict(Counter), Counter()
     for lang, text in rows:
-        lang = lang or "und"
+        lang = "und" if lang is None else lang
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
             ws = [w for w in re.split(r"[\x20\x09]+", piece) if w]
             words[lang] += len(ws)
