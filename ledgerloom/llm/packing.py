@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -45,24 +46,46 @@ class Encoder:
 
     A space before a character that isn't white space always begins a pre-token, so text is cut there and the ids of
     words that come again are looked up. Texts with longer runs of white space are encoded at once.
+
+    ``added``: tokens that stand for themselves wherever a text has them, with their ids; the text between is encoded by
+    itself. By default those of ``byte_bpe_50k.json``, which tokenizers finds too if no special tokens are to be added.
     """
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, added: dict[str, int] | None = None):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.words = _Words(self.whole)
+        added = added_tokens(public_tokenizers.path("byte_bpe_50k.json")) if added is None else added
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
+        # of two tokens at one place the longer
+        self.cut = re.compile("|".join(f"({re.escape(t)})" for t in sorted(added, key=len, reverse=True))) if added else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
+        if self.cut is None or not self.cut.search(text):
+            return self.between(text)
+        out, at = b"", 0
+        for m in self.cut.finditer(text):
+            out += self.between(text[at : m.start()]) + self.added[m[0]]
+            at = m.end()
+        return out + self.between(text[at:])
+
+    def between(self, text: str) -> bytes:
         if _SPLIT_WRONG.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
         return self.whole(first) + b"".join(map(self.words.__getitem__, rest))
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens that a vocabulary file of tokenizers adds to its ranks, with their ids."""
+    with open(path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
 def cut(length: int, capacity: int, least: int = LEAST_PIECE) -> list[int]:
     """Lengths of a document's pieces: full sequences, then falling powers of two from half of it, then what is left."""
     pieces = [capacity] * (length // capacity)

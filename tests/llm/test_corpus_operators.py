@@ -196,8 +196,9 @@ def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     df, texts = sample(spark)
+    marked = [(-1, "hello <|endoftext|> world"), (-2, "<|endoftext|>"), (-3, "a<|endoftext|><|endoftext|>  b \n<|endoftext"), (-4, "<|endoftext|> " * 3000)]
+    df, texts = df.select("doc_id", "text").union(spark.createDataFrame(marked, "doc_id long, text string")), texts | dict(marked)
     found = packing.pack_documents(df).collect()
     sequences, pieces = defaultdict(list), defaultdict(list)
     for r in found:
