@@ -314,10 +314,12 @@ def quota_use(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "nw_canonical_url",
-    r"""WITH b AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
-    p AS (SELECT page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) AS h, regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS p,
-      array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_'))), '&') AS q FROM b)
-    SELECT page_id, h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical FROM p""",
+    r"""WITH u AS (SELECT page_id, regexp_extract(trim(url), '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(?:\?([^#]*))?', ['scheme', 'host', 'path', 'query']) AS p FROM pages),
+    pairs AS (SELECT page_id, p, list_transform(list_filter(string_split(p.query, '&'), lambda x: contains(x, '=') AND NOT ends_with(x, '=')),
+      lambda x: {'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': url_decode(replace(substr(x, instr(x, '=') + 1), '+', ' '))}) AS q FROM u),
+    kept AS (SELECT page_id, p, list_sort(list_filter(q, lambda x: NOT starts_with(lower(x.k), 'utm_'))) AS q FROM pairs),
+    t AS (SELECT page_id, p, array_to_string(list_transform(q, lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') AS q FROM kept)
+    SELECT page_id, CASE WHEN p.scheme <> '' THEN lower(p.scheme) || ':' ELSE '' END || lower(p.host) || CASE WHEN rtrim(p.path, '/') = '' AND p.query = '' THEN '/' ELSE rtrim(p.path, '/') END || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical FROM t""",
 )
 def nw_canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.canonical_url(F.col("url")).alias("canonical"))
