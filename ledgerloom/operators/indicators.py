@@ -132,11 +132,11 @@ def swing_pivots(w: int) -> tuple[Column, Column]:
 
 
 def gap_zones(bars: DataFrame, least_pct: float) -> DataFrame:
-    """Gaps of at least so many percent that no later bar has filled: side, from, to."""
+    """Gaps of at least so many percent that no later bar has filled: side, from, to. From a price of zero there is none."""
     later = by_date().rowsBetween(1, Window.unboundedFollowing)
     seen = bars.select("security_id", "date", F.lag("high").over(by_date()).alias("high_before"), F.lag("low").over(by_date()).alias("low_before"), "high", "low", F.min("low").over(later).alias("later_low"), F.max("high").over(later).alias("later_high"))
-    up = (F.col("low") - F.col("high_before")) / F.col("high_before") * 100 >= least_pct
-    down = (F.col("low_before") - F.col("high")) / F.col("low_before") * 100 >= least_pct
+    up = F.coalesce(ratio(F.col("low") - F.col("high_before"), F.col("high_before")) * 100 >= least_pct, F.lit(False))
+    down = F.coalesce(ratio(F.col("low_before") - F.col("high"), F.col("low_before")) * 100 >= least_pct, F.lit(False))
     open_up = up & F.coalesce(F.col("later_low") > F.col("high_before"), F.lit(True))
     open_down = down & F.coalesce(F.col("later_high") < F.col("low_before"), F.lit(True))
     side = F.when(open_up, "up").when(open_down, "down")
@@ -197,5 +197,5 @@ def _newest(df: DataFrame) -> DataFrame:
 def _relative(shared: DataFrame, base: str, name: str, window: int = 126) -> DataFrame:
     """Close over the base at the last shared date, and its change in percent over so many shared dates."""
     ratios = shared.withColumn("__ratio", ratio(F.col("close"), F.col(base))).where("__ratio is not null")
-    moved = ratios.withColumn("__change", 100 * (F.col("__ratio") / F.lag("__ratio", window).over(by_date()) - 1))
+    moved = ratios.withColumn("__change", 100 * (ratio(F.col("__ratio"), F.lag("__ratio", window).over(by_date())) - 1))
     return _newest(moved).select("security_id", F.col("__ratio").alias(f"rs_{name}_ratio"), F.col("__change").alias(f"rs_{name}_change_6m_pct"))

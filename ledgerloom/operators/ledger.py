@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.graph import chain_ends
 from ledgerloom.operators.pit import asof_join
 
 
@@ -83,6 +84,41 @@ def fold_repeats(calls: DataFrame, days: int) -> DataFrame:
     return listed.select("security_id", "verdict", F.explode(F.aggregate("c", start, put, lambda a: a["kept"])).alias("k")).select("security_id", "verdict", "k.date", "k.call_id")
 
 
+def survivors(calls: DataFrame, days: int) -> DataFrame:
+    """call_id, final_id and why (kept, corrected, same_day, in_window): the call that each ledger row counts as.
+
+    A corrected row goes where its correction goes, however long that chain is; if several rows correct one, the latest
+    id does. Of one security, day and verdict the latest id stands; repeats within ``days`` of a call that counts fold
+    into it. Corrections of unknown rows correct nothing; rows that correct each other in a circle have no final call.
+    """
+    rows = calls.select("call_id", "security_id", "verdict", "date", "corrects_id")
+    by = rows.join(rows.select(F.col("call_id").alias("corrects_id")), "corrects_id").groupBy(F.col("corrects_id").alias("call_id")).agg(F.max("call_id").alias("corrected_by"))
+    ends = chain_ends(rows.select("call_id").join(by, "call_id", "left"), "call_id", "corrected_by")
+    live = rows.join(by, "call_id", "left_anti").drop("corrects_id")
+    heads = fold_repeats(live, days).select(F.col("call_id").alias("latest"), F.col("call_id").alias("head"))
+    single = live.groupBy("security_id", "verdict", "date").agg(F.max("call_id").alias("latest")).join(heads, "latest", "left")
+    # a repeat folds into the last call that counts on or before its day
+    single = single.withColumn("head", F.last("head", ignorenulls=True).over(Window.partitionBy("security_id", "verdict").orderBy("date")))
+    stands = live.join(single, ["security_id", "verdict", "date"]).select(F.col("call_id").alias("last"), "head", "latest")
+    found = ends.join(stands, "last", "left")
+    why = F.when(F.col("last").isNull() | (F.col("call_id") != F.col("last")), "corrected").when(F.col("call_id") == F.col("head"), "kept").when(F.col("call_id") == F.col("latest"), "in_window").otherwise("same_day")
+    return found.select("call_id", F.col("head").alias("final_id"), why.alias("why"))
+
+
+def scored_calls(calls: DataFrame, final: DataFrame, scores: DataFrame, decisions: DataFrame, weeks: Sequence[int]) -> DataFrame:
+    """One row for each call that counts and each horizon: call_id, weeks, verdict, status, call_excess, hit, acted.
+
+    ``final`` comes from ``survivors``; ``scores``: call_id, weeks, status, call_excess, hit (the newest of each);
+    ``decisions``: call_id, decision, effective rows. A horizon without a score is pending; a decision acted on, or in
+    part, counts for the call that its row folded into.
+    """
+    kept = final.where("call_id = final_id").select("call_id")
+    acted = decisions.where(F.col("decision").isin("acted", "partial")).select("call_id").join(final, "call_id").select(F.col("final_id").alias("call_id"), F.lit(True).alias("acted")).distinct()
+    asked = calls.select("call_id", "verdict").join(kept, "call_id").withColumn("weeks", F.explode(F.array(*map(F.lit, weeks))))
+    found = asked.join(scores.select("call_id", "weeks", "status", "call_excess", "hit"), ["call_id", "weeks"], "left").join(acted, "call_id", "left")
+    return found.select("call_id", "weeks", "verdict", F.coalesce("status", F.lit("pending")).alias("status"), "call_excess", "hit", F.coalesce("acted", F.lit(False)).alias("acted"))
+
+
 def latest_scores(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The scored row of each key if there is one (the first), else the newest."""
     scored = F.col("status") == "scored"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.stats import ratio
+
 
 def bar_fault() -> Column:
     """The first field that breaks a bar's rules, null for a sound bar."""
@@ -15,14 +17,15 @@ def bar_fault() -> Column:
 
 def price_factors(actions: DataFrame, bars: DataFrame) -> DataFrame:
     """The factor of each action: 1 / ratio for a split, 1 / (1 + ratio) for a bonus, (close - amount) / close for a
-    dividend, by the last close before the ex-date. One action per kind and date counts, splits and boni being one kind."""
+    dividend, by the last close before the ex-date. One action per kind and date counts, splits and boni being one kind. A split by
+    zero, or a bonus that leaves no shares, has no factor."""
     kind = F.when(F.col("kind").isin("split", "bonus"), "share").otherwise(F.col("kind"))
     turn = F.row_number().over(Window.partitionBy("security_id", "ex_date", kind).orderBy("source_rank", "kind"))
     single = actions.withColumn("__turn", turn).where("__turn = 1").drop("__turn")
     dated = bars.select("security_id", "date", "close").unionByName(single.select("security_id", F.col("ex_date").alias("date"), F.lit(None).cast("double").alias("close")).distinct())
     closes = dated.withColumn("date_number", F.datediff("date", F.lit("1970-01-01"))).withColumn("before", F.last("close", ignorenulls=True).over(Window.partitionBy("security_id").orderBy("date_number").rangeBetween(Window.unboundedPreceding, -1)))
     closes = closes.groupBy("security_id", F.col("date").alias("ex_date")).agg(F.first("before", ignorenulls=True).alias("before"))
-    factor = F.when(F.col("kind") == "split", 1 / F.col("value")).when(F.col("kind") == "bonus", 1 / (1 + F.col("value"))).when(F.col("before") > 0, (F.col("before") - F.col("value")) / F.col("before"))
+    factor = F.when(F.col("kind") == "split", ratio(F.lit(1.0), F.col("value"))).when(F.col("kind") == "bonus", ratio(F.lit(1.0), 1 + F.col("value"))).when(F.col("before") > 0, (F.col("before") - F.col("value")) / F.col("before"))
     return single.join(closes, ["security_id", "ex_date"]).select("security_id", "ex_date", "kind", factor.alias("factor"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.pit import effective_rows
 from ledgerloom.operators.portfolio import xirr
 from ledgerloom.operators.stored import cover
 
@@ -105,9 +106,13 @@ def trailing_year(points: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def sold_in_year(decisions: DataFrame, calls: DataFrame, year: int, rate: float) -> DataFrame:
-    """One row: amount and rows of what was sold on SELL and TRIM calls in a year, foreign trades at ``rate``; skipped ones don't count."""
+    """One row: amount and rows of what was sold on SELL and TRIM calls in a year, foreign trades at ``rate``.
+
+    Skipped decisions don't count, nor, if there is a column ``corrects_id`` (and ``id``), those that a later row corrects.
+    """
     value = F.coalesce(F.col("qty") * F.col("price"), F.lit(0)) * F.when(F.col("currency") == "USD", rate).otherwise(1.0)
-    kept = decisions.where((F.col("decision") != "skipped") & (F.year("on_date") == year)).join(calls.where(F.col("verdict").isin("SELL", "TRIM")).select("entry_id"), "entry_id", "left_semi")
+    known = effective_rows(decisions) if "corrects_id" in decisions.columns else decisions
+    kept = known.where((F.col("decision") != "skipped") & (F.year("on_date") == year)).join(calls.where(F.col("verdict").isin("SELL", "TRIM")).select("entry_id"), "entry_id", "left_semi")
     return kept.agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("amount"), F.count("*").alias("rows"))
 
 

@@ -9,14 +9,14 @@ from ledgerloom.operators import history
 from ledgerloom.plans.bindings import BARS, bars
 from ledgerloom.plans.registry import query, table
 
-_ITEMS = ["eps", "shares_out", "total_equity", "total_debt", "cash", "operating_income", "depreciation_amortization", "cfo", "capex", "dividends_per_share"]
+_ITEMS = ["eps", "shares_out", "total_equity", "total_debt", "cash", "operating_income", "depreciation_amortization", "cfo", "capex", "dividends_per_share", "revenue", "net_income"]
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """security_id, item, period_type, period_end, value, filed_at: quarters and years, each filed by up to five sources."""
     nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     orders = table(spark, sf_dir, "orders").join(nation, "o_custkey")
-    item = F.get(F.array(*map(F.lit, _ITEMS)), (F.col("o_custkey") % 10).cast("int"))
+    item = F.get(F.array(*map(F.lit, _ITEMS)), (F.col("o_custkey") % 12).cast("int"))
     quarter_end = F.last_day(F.add_months(F.trunc(F.to_date("o_orderdate"), "quarter"), 2))
     sign = F.when((F.col("c_nationkey") % 7 == 0) & (item == "eps") | (item == "capex") & (F.col("c_nationkey") % 2 == 1), -1).otherwise(1)
     after = F.substring("o_orderpriority", 1, 1).cast("int") * 20 - 25
@@ -28,7 +28,7 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FILINGS = """
 ordered AS (
-  SELECT c_nationkey AS security_id, ['eps', 'shares_out', 'total_equity', 'total_debt', 'cash', 'operating_income', 'depreciation_amortization', 'cfo', 'capex', 'dividends_per_share'][o_custkey % 10 + 1] AS item,
+  SELECT c_nationkey AS security_id, ['eps', 'shares_out', 'total_equity', 'total_debt', 'cash', 'operating_income', 'depreciation_amortization', 'cfo', 'capex', 'dividends_per_share', 'revenue', 'net_income'][o_custkey % 12 + 1] AS item,
     last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 2 MONTH) AS quarter_end, make_date(year(o_orderdate), 12, 31) AS year_end,
     left(o_orderpriority, 1)::INT * 20 - 25 AS after, o_totalprice::DECIMAL(18,2) AS price
   FROM orders JOIN customer ON c_custkey = o_custkey),
@@ -58,12 +58,12 @@ facts AS (
 @query("val_facts_at", f"WITH {_AT} SELECT security_id, date, eps_basis, {', '.join(f'round_even({i}, 4) AS {i}' for i in (*history.NEWEST, *history.YEARLY))} FROM facts WHERE slot = 'month'")
 def val_facts_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The figures known at each month end."""
-    ends = _closes(spark, sf_dir).where("date <= date'2001-06-30'").groupBy("security_id", (F.year("date") * 12 + F.month("date") - 1).alias("month")).agg(F.max("date").alias("date"))
+    ends = closes(spark, sf_dir).where("date <= date'2001-06-30'").groupBy("security_id", (F.year("date") * 12 + F.month("date") - 1).alias("month")).agg(F.max("date").alias("date"))
     found = history.facts_at(filings(spark, sf_dir), ends)
     return found.select("security_id", "date", "eps_basis", *[F.bround(i, 4).alias(i) for i in (*history.NEWEST, *history.YEARLY)])
 
 
-def _closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(spark, sf_dir).select((F.replace("security_id", F.lit("Brand#")).cast("int") - 1).alias("security_id"), "date", "close")
 
 
@@ -74,9 +74,7 @@ _SHOWN = """coalesce(n{n}, 0) AS observations_{n}y, CASE WHEN w{n} IS NULL THEN
 _WHY = "CASE WHEN coalesce(n{n}, 0) < 24 THEN 'too few observations' WHEN f{n} > CAST(DATE '2001-06-30' - INTERVAL {n} YEAR AS DATE) + 62 THEN 'history is shorter than the window' END AS w{n}"
 
 
-@query(
-    "val_history",
-    f"""WITH {_AT}, cells AS (
+TOLD = f"""{_AT}, cells AS (
       SELECT security_id, slot, date, unnest([
         {{'multiple': 'pe', 'value': CASE WHEN eps > 0 THEN price / eps END, 'why': CASE WHEN eps IS NULL THEN 'no eps filed' WHEN eps <= 0 THEN 'eps is not positive' END}},
         {{'multiple': 'pb', 'value': CASE WHEN total_equity > 0 THEN cap / total_equity END, 'why': CASE WHEN cap IS NULL THEN 'no shares_out filed' WHEN total_equity IS NULL THEN 'no total_equity filed' WHEN total_equity <= 0 THEN 'equity is not positive' END}},
@@ -89,10 +87,15 @@ _WHY = "CASE WHEN coalesce(n{n}, 0) < 24 THEN 'too few observations' WHEN f{n} >
     now AS (SELECT security_id, multiple, round_even(value, 8) AS current, why AS reason FROM cells WHERE slot = 'now'),
     past AS (SELECT c.security_id, c.multiple, date, round_even(value, 8) AS value, current FROM cells c JOIN now USING (security_id, multiple) WHERE slot = 'month' AND value IS NOT NULL),
     counted AS (SELECT security_id, multiple, {_WINDOW.format(n=5)}, {_WINDOW.format(n=10)} FROM past GROUP BY 1, 2),
-    told AS (SELECT now.*, counted.* EXCLUDE (security_id, multiple), {_WHY.format(n=5)}, {_WHY.format(n=10)} FROM now LEFT JOIN counted USING (security_id, multiple))
-    SELECT security_id, multiple, round_even(current, 6) AS current, reason, {_SHOWN.format(n=5)}, {_SHOWN.format(n=10)} FROM told""",
-)
+    told AS (SELECT now.*, counted.* EXCLUDE (security_id, multiple), {_WHY.format(n=5)}, {_WHY.format(n=10)} FROM now LEFT JOIN counted USING (security_id, multiple))"""
+
+
+@query("val_history", f"""WITH {TOLD}
+    SELECT security_id, multiple, round_even(current, 6) AS current, reason, {_SHOWN.format(n=5)}, {_SHOWN.format(n=10)} FROM told""")
 def val_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("security_id"), F.when(F.col("n_nationkey") % 2 == 0, "IN").otherwise("US").alias("market"), F.when(F.col("n_nationkey") % 5 == 0, "financial").otherwise("general").alias("sector_kind"))
-    found = history.valuation_history(filings(spark, sf_dir), _closes(spark, sf_dir), nations, "2001-06-30")
+    found = history.valuation_history(filings(spark, sf_dir), closes(spark, sf_dir), companies(spark, sf_dir), "2001-06-30")
     return found.withColumns({c: F.bround(c, 6) for c in found.columns if c.startswith(("current", "median", "percentile"))})
+
+
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("security_id"), F.when(F.col("n_nationkey") % 2 == 0, "IN").otherwise("US").alias("market"), F.when(F.col("n_nationkey") % 5 == 0, "financial").otherwise("general").alias("sector_kind"))

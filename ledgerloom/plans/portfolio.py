@@ -228,7 +228,7 @@ def val_history_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("months >= 24").select("security_id", "months", r6(F.col("median")).alias("median"), r6(100 * F.col("share")).alias("percentile"))
 
 
-def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     brand = F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string"))
     verdict = F.when(F.col("o_orderstatus") == "F", "SELL").when(F.col("o_orderstatus") == "O", "BUY").otherwise("HOLD")
@@ -236,7 +236,7 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CALLS = """calls AS (SELECT o_orderkey AS call_id, 'Brand#' || (o_custkey % 25 + 1) AS security_id, CAST(o_orderdate AS DATE) AS date, CASE o_orderstatus WHEN 'F' THEN 'SELL' WHEN 'O' THEN 'BUY' ELSE 'HOLD' END AS verdict FROM orders)"""
-_SCORED = f"""WITH {BARS}, {_CALLS},
+SCORED = f"""WITH {BARS}, {_CALLS},
   e AS (SELECT c.*, c.date + 91 AS target, p.date AS d0, p.close AS c0 FROM calls c ASOF LEFT JOIN bars p ON c.security_id = p.security_id AND c.date >= p.date),
   f AS (SELECT e.*, b.date AS e0, b.benchmark AS b0 FROM e ASOF LEFT JOIN bench b ON e.d0 >= b.date),
   g AS (SELECT f.*, p.date AS d1, p.close AS c1 FROM f ASOF LEFT JOIN bars p ON f.security_id = p.security_id AND f.target >= p.date),
@@ -248,23 +248,23 @@ _SCORED = f"""WITH {BARS}, {_CALLS},
   s AS (SELECT *, round_even(CASE verdict WHEN 'BUY' THEN ret - bm - 0.25::DOUBLE WHEN 'SELL' THEN bm - ret END, 4) AS excess FROM y)"""
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.score_calls(_calls(spark, sf_dir), bars(spark, sf_dir).select("security_id", "date", "close"), benchmark(spark, sf_dir), 13, "2001-06-30", 0.25, 7)
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.score_calls(calls(spark, sf_dir), bars(spark, sf_dir).select("security_id", "date", "close"), benchmark(spark, sf_dir), 13, "2001-06-30", 0.25, 7)
 
 
-@query("led_score_call", _SCORED + " SELECT call_id, security_id, verdict, status, ret, bm AS benchmark, excess AS call_excess, excess > 0 AS hit FROM s")
+@query("led_score_call", SCORED + " SELECT call_id, security_id, verdict, status, ret, bm AS benchmark, excess AS call_excess, excess > 0 AS hit FROM s")
 def led_score_call(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir)
+    return scored(spark, sf_dir)
 
 
 @query(
     "card_build",
-    _SCORED
+    SCORED
     + """, m AS (SELECT 'security_id' AS dimension, security_id AS member, * FROM s UNION ALL SELECT 'verdict', verdict, * FROM s)
     SELECT dimension, member, count(DISTINCT call_id) AS calls, count(DISTINCT call_id) FILTER (status = 'scored') AS scored, round_even(100.0::DOUBLE * avg(CAST(excess > 0 AS INT)), 6) AS hit_pct, round_even(avg(excess), 6) AS mean_excess, round_even(median(excess), 6) AS median_excess, round_even(min(excess), 6) AS worst, count(DISTINCT call_id) FILTER (status = 'scored') >= 20 AS enough FROM m GROUP BY 1, 2""",
 )
 def card_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.scorecard(_scored(spark, sf_dir), ["security_id", "verdict"], 20).withColumns({c: r6(F.col(c)) for c in ("hit_pct", "mean_excess", "median_excess", "worst")})
+    return ledger.scorecard(scored(spark, sf_dir), ["security_id", "verdict"], 20).withColumns({c: r6(F.col(c)) for c in ("hit_pct", "mean_excess", "median_excess", "worst")})
 
 
 @query(
@@ -276,7 +276,7 @@ def card_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT security_id, verdict, date, call_id FROM w WHERE kept""",
 )
 def led_dedupe_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.fold_repeats(_calls(spark, sf_dir), 91)
+    return ledger.fold_repeats(calls(spark, sf_dir), 91)
 
 
 _CLOSED = ["2024-01-01", "2024-01-15", "2024-02-19", "2024-03-29", "2024-05-27", "2024-06-19", "2024-07-04", "2024-09-02", "2024-11-28", "2024-12-25", "2025-01-01", "2025-01-09", "2025-01-20", "2025-02-17", "2025-04-18", "2025-05-26", "2025-06-19", "2025-07-04", "2025-09-01", "2025-11-27", "2025-12-25"]
