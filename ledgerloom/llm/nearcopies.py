@@ -194,9 +194,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One row, with all columns, for the smallest doc_id of each class; of rows that repeat it, the first by text.
 
-    Rows without doc_id stay.
+    Rows without doc_id stay, and so does a text without words, null or empty, for each doc_id, as it is no copy of
+    another. An empty table gives an empty result. Columns may have any names.
     """
     first = near_copies(docs).where("doc_id = class_id").select("doc_id")
     kept = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").select(*docs.columns)
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in ("text", "source", "lang") if c in docs.columns]))
-    return kept.withColumn("__turn", turn).where("__turn = 1").drop("__turn").unionByName(docs.where(F.col("doc_id").isNull()))
+    place = "turn" + "_" * (1 + max(map(len, docs.columns)))
+    return kept.withColumn(place, turn).where(F.col(place) == 1).drop(place).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -411,3 +411,12 @@ def test_pipeline(spark):
     encoder = packing.Encoder(__import__("public_tokenizers").path("byte_bpe_50k.tiktoken"))
     mixed = sum(len(encoder.ids(r["text"])) // 4 + 1 for r in kept["mixing"])
     assert corpus_pipeline.run(spark, SF).selectExpr("sum(length)").first()[0] == mixed
+
+
+def test_near_copies_with_clashing_columns(spark, docs):
+    from pyspark.sql import functions as F
+
+    clash = docs.withColumns({"__turn": F.lit("x"), "turn_": F.lit(1), "class_id": F.lit(2), "set_a": F.lit("y")})
+    kept = nearcopies.keep_one_of_each(clash)
+    assert kept.columns == clash.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in nearcopies.keep_one_of_each(docs).collect())
