@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -60,6 +60,16 @@ def sessions(spark: SparkSession, first: date, last: date, holidays: list[date])
     return days.where(F.dayofweek("date").between(2, 6) & ~F.col("date").cast("string").isin(closed))
 
 
+def calendar(sessions: DataFrame) -> DataFrame:
+    """Every day from the first session to the last: date, is_session, previous and following session, last session of its month.
+
+    A calendar has as many rows as days, so one task orders it. Before the first and after the last session it has nothing.
+    """
+    days = sessions.agg(F.explode(F.sequence(F.min("date"), F.max("date"))).alias("date")).join(sessions.select("date", F.col("date").alias("held")).distinct(), "date", "left")
+    before, after = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("date").rowsBetween(1, Window.unboundedFollowing)
+    return days.select("date", F.col("held").isNotNull().alias("is_session"), F.max("held").over(before).alias("previous"), F.min("held").over(after).alias("following"), F.max("held").over(Window.partitionBy(F.trunc("date", "month"))).alias("month_last"))
+
+
 def due(jobs: DataFrame, dates: DataFrame, finished: DataFrame) -> DataFrame:
     """(job, date) pairs that no finished run covers; jobs are a small table, dates a calendar."""
     return jobs.select("job", F.explode(F.sequence("first", "last")).alias("date")).join(dates, "date", "left_semi").join(finished, ["job", "date"], "left_anti")

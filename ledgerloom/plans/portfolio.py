@@ -282,9 +282,18 @@ def led_dedupe_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLOSED = ["2024-01-01", "2024-01-15", "2024-02-19", "2024-03-29", "2024-05-27", "2024-06-19", "2024-07-04", "2024-09-02", "2024-11-28", "2024-12-25", "2025-01-01", "2025-01-09", "2025-01-20", "2025-02-17", "2025-04-18", "2025-05-26", "2025-06-19", "2025-07-04", "2025-09-01", "2025-11-27", "2025-12-25"]
 
 
-@query("cal_sessions", f"SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '2024-01-01', DATE '2025-12-31', INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5 AND CAST(d AS DATE) NOT IN ({', '.join(f"DATE '{d}'" for d in _CLOSED)})")
+@query(
+    "cal_sessions",
+    f"""WITH s AS (SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '2023-12-01', DATE '2024-12-31', INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5 AND CAST(d AS DATE) NOT IN ({', '.join(f"DATE '{d}'" for d in ["2023-12-25", *_CLOSED[:10]])})),
+    e AS (SELECT CAST(ts AS DATE) AS date, count(*) AS events FROM events GROUP BY 1)
+    SELECT date, events, date IN (SELECT date FROM s) AS is_session, (SELECT max(s.date) FROM s WHERE s.date < e.date) AS previous, (SELECT min(s.date) FROM s WHERE s.date > e.date) AS following,
+      (SELECT max(s.date) FROM s WHERE date_trunc('month', s.date) = date_trunc('month', e.date)) AS month_last FROM e""",
+)
 def cal_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.sessions(spark, date(2024, 1, 1), date(2025, 12, 31), schedule.us_holidays(2024) + schedule.us_holidays(2025))
+    """Days with events, and the sessions around them."""
+    days = schedule.sessions(spark, date(2023, 12, 1), date(2024, 12, 31), schedule.us_holidays(2023) + schedule.us_holidays(2024))
+    per_day = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("date")).agg(F.count("*").alias("events"))
+    return per_day.join(schedule.calendar(days), "date").select("date", "events", "is_session", "previous", "following", "month_last")
 
 
 @query(
