@@ -108,16 +108,23 @@ def plain_name(name: Column) -> Column:
 def direct_twins(schemes: DataFrame) -> DataFrame:
     """For each regular plan of (fund, amc, name): status (found, ambiguous, none), twin, candidates in order.
 
-    A twin is a direct plan of the same plain name and option, and of the same house or one that isn't known. Schemes
-    of one plain name meet as one list of direct plans, not as pairs.
+    A twin is a direct plan of the same plain name and option, and of the same house or one that isn't known. Direct
+    plans are listed once for each plain name, option and house; schemes meet the list of their house and that of no
+    house. All of a plain name are listed only where a regular plan's own house isn't known.
     """
     known = schemes.select("fund", F.lower("amc").alias("amc"), plain_name(F.col("name")).alias("__name"), option(F.col("name")).alias("__option"), plan(F.col("name")).alias("__plan"))
-    direct = known.where("__plan = 'direct'").groupBy("__name", "__option").agg(F.array_sort(F.collect_list(F.struct("fund", "amc"))).alias("__direct"))
-    met = known.where("__plan = 'regular'").join(direct, ["__name", "__option"], "left")
-    same = F.filter("__direct", lambda d: d["amc"].isNull() | F.col("amc").isNull() | (d["amc"] == F.col("amc")))
-    found = met.withColumn("candidates", F.coalesce(F.transform(same, lambda d: d["fund"]), F.array().cast(f"array<{schemes.schema['fund'].dataType.simpleString()}>")))
+    kind = f"array<{schemes.schema['fund'].dataType.simpleString()}>"
+    direct, regular = known.where("__plan = 'direct'"), known.where("__plan = 'regular'")
+    key = ["__name", "__option"]
+    listed = lambda rows, by, name: rows.groupBy(*by).agg(F.array_sort(F.collect_list("fund")).alias(name))
+    none = F.array().cast(kind)
+    groups = regular.select(*key, "amc").distinct()
+    housed = groups.where("amc is not null").join(listed(direct.where("amc is not null"), [*key, "amc"], "__own"), [*key, "amc"], "left")
+    housed = housed.join(listed(direct.where("amc is null"), key, "__free"), key, "left").select(*key, "amc", F.array_sort(F.concat(F.coalesce("__own", none), F.coalesce("__free", none))).alias("candidates"))
+    free = groups.where("amc is null").select(*key).join(listed(direct.join(groups.where("amc is null").select(*key), key, "left_semi"), key, "candidates"), key, "left").select(*key, F.coalesce("candidates", none).alias("candidates"))
+    met = regular.where("amc is not null").join(housed, [*key, "amc"]).unionByName(regular.where("amc is null").join(free, key), allowMissingColumns=True)
     n = F.size("candidates")
-    return found.select("fund", F.when(n == 1, "found").when(n > 1, "ambiguous").otherwise("none").alias("status"), F.when(n == 1, F.get("candidates", F.lit(0))).alias("twin"), "candidates")
+    return met.select("fund", F.when(n == 1, "found").when(n > 1, "ambiguous").otherwise("none").alias("status"), F.when(n == 1, F.get("candidates", F.lit(0))).alias("twin"), "candidates")
 
 
 def tenure_years(since: Column, as_of: Column) -> Column:
