@@ -33,12 +33,18 @@ def latest_as_of(df: DataFrame, keys: Sequence[str], as_of: Column, filed: str =
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_date: str, right_date: str, values: Sequence[str]) -> DataFrame:
-    """Each left row with the last right row on or before its date: a union and one running window, no range join."""
-    marked = right.select(*keys, F.col(right_date).alias("__at"), F.struct(F.col(right_date), *values).alias("__value"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(F.struct("*").alias("r")).schema["r"].dataType).alias("__row"))
-    asked = left.select(*keys, F.col(left_date).alias("__at"), F.lit(None).cast(marked.schema["__value"].dataType).alias("__value"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"))
+    """Each left row with the last right row on or before its date; no range join.
+
+    The different dates of each key, not the left rows, are ordered with the right rows in one running window; left rows
+    then meet the answers by key and date. Null keys and dates have no match.
+    """
+    shown = right.where(F.col(right_date).isNotNull()).select(*keys, F.col(right_date).alias("__at"), F.struct(F.col(right_date), *values).alias("__value"), F.lit(0).alias("__side"))
+    dates = left.select(*keys, F.col(left_date).alias("__at")).dropna().distinct()
+    asked = dates.withColumns({"__value": F.lit(None).cast(shown.schema["__value"].dataType), "__side": F.lit(1)})
     last = F.last("__value", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0))
-    joined = marked.unionByName(asked).withColumn("__last", last).where("__side = 1")
-    return joined.select("__row.*", F.col(f"__last.{right_date}").alias(f"asof_{right_date}"), *[F.col(f"__last.{v}").alias(f"asof_{v}") for v in values])
+    told = shown.unionByName(asked).withColumn("__last", last).where("__side = 1").select(*keys, F.col("__at"), F.col("__last"))
+    joined = left.withColumn("__at", F.col(left_date)).join(told, [*keys, "__at"], "left")
+    return joined.select(*left.columns, F.col(f"__last.{right_date}").alias(f"asof_{right_date}"), *[F.col(f"__last.{v}").alias(f"asof_{v}") for v in values])
 
 
 def month_ends(bars: DataFrame, key: str = "security_id", date: str = "date", value: str = "close") -> DataFrame:
