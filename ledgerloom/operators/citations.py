@@ -7,6 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.checkpoints import cut
+
 # What a unit multiplies by, units that are also read as one another, months, the mark of hidden text.
 UNITS = {"lakh": 10**5, "crore": 10**7, "cr": 10**7, "k": 10**3, "m": 10**6, "bn": 10**9, "thousand": 10**3, "million": 10**6, "billion": 10**9}
 INDIAN = ("lakh", "crore", "cr")
@@ -16,6 +18,8 @@ EVERYWHERE = "all"
 #: Numbers have at most so many digits before and after the point; others match nothing.
 NUMBER, EXACT = "decimal(25,8)", "decimal(38,10)"
 AROUND = 24
+#: Tasks that read the texts.
+SPREAD = 96
 
 # A text is read as tokens from left to right. What is glued to a word or to a number belongs to that token, so that
 # digits inside it are never read by themselves; a sign or currency after it joins two tokens and isn't the next one's.
@@ -123,23 +127,31 @@ def unmatched(blocks: DataFrame, evidence: DataFrame, registered: DataFrame | No
 
     Half a unit around a figure is what rounds to it: for each number of decimals and each reading, evidence is keyed by
     the whole number that it rounds to, figures by theirs and its neighbours, and equal keys are then compared exactly.
+    Of the numbers of one key only the least and the largest are kept: they span less than a unit, which is what a
+    figure's bounds are apart, so if any is within them one of the two is. A figure meets three keys at most.
     """
-    found = figures(blocks.select("run_id", "block_id", F.coalesce("scope", F.lit(EVERYWHERE)).alias("scope"), "text"))
-    shown = F.least("decimals", F.lit(most_digits))
-    asked = found.where("value is not null").withColumns({"places": shown, "times": F.explode(_multipliers(F.col("unit")))})
-    asked = asked.withColumn("place", F.explode(F.array_distinct(F.array("scope", F.lit(EVERYWHERE)))))
+    read = blocks.select("run_id", "block_id", F.coalesce("scope", F.lit(EVERYWHERE)).alias("scope"), "text").repartition(SPREAD, "run_id", "block_id")
+    found = cut(figures(read))
+    places = F.explode(F.array_distinct(F.array("scope", F.lit(EVERYWHERE))))
+    numbers = found.where("value is not null").select("run_id", "block_id", "n", "figure", "value", F.least("decimals", F.lit(most_digits)).alias("places"), "unit", places.alias("place"))
+    pool = evidence.where("value is not null").select("run_id", F.coalesce("scope", F.lit(EVERYWHERE)).alias("place"), F.col("value").cast(NUMBER).alias("known")).distinct()
+    # what many figures of a run ask alike is asked once, and only where there is evidence
+    question = ["run_id", "place", "value", "places", "unit"]
+    asks = numbers.select(*question).distinct().join(pool.select("run_id", "place").distinct(), ["run_id", "place"], "left_semi")
+    asked = asks.withColumn("times", F.explode(_multipliers(F.col("unit"))))
+    levels = asked.select("run_id", "place", "places", "times").distinct()
     tens = lambda n: F.pow(F.lit(10.0), n).cast("decimal(10,0)")
     whole = F.floor((F.col("value") * tens(F.col("places"))).cast("decimal(38,4)"))
     asked = asked.withColumn("key", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: (whole + k).cast("decimal(38,0)"))))
-    levels = asked.select("run_id", "place", "places", "times").distinct()
-    pool = evidence.where("value is not null").select("run_id", F.coalesce("scope", F.lit(EVERYWHERE)).alias("place"), F.col("value").cast(NUMBER).alias("known")).distinct()
     once = lambda c: F.col(c).cast("decimal(12,2)")
     rounded = F.floor((F.col("known") * tens(F.col("places"))).cast("decimal(38,8)") / once("times") + F.lit("0.5").cast("decimal(2,1)")).cast("decimal(38,0)")
-    pool = pool.join(levels, ["run_id", "place"]).withColumn("key", rounded)
-    gap = F.abs(F.col("known").cast(EXACT) - (F.col("value") * once("times")).cast(EXACT))
+    level = ["run_id", "place", "places", "times", "key"]
+    pool = pool.join(levels, ["run_id", "place"]).withColumn("key", rounded).groupBy(*level).agg(F.min("known").alias("least"), F.max("known").alias("most"))
+    gap = lambda known: F.abs(F.col(known).cast(EXACT) - (F.col("value") * once("times")).cast(EXACT))
     width = (F.lit("0.5").cast("decimal(2,1)") * once("times") / tens(F.col("places"))).cast(EXACT)
-    held = asked.join(pool, ["run_id", "place", "places", "times", "key"]).where(gap <= width).select("run_id", "block_id", "n", "figure")
-    dated = found.where("day is not null").withColumn("place", F.explode(F.array_distinct(F.array("scope", F.lit(EVERYWHERE)))))
+    answered = asked.join(pool, level).where((gap("least") <= width) | (gap("most") <= width)).select(*question).distinct()
+    held = numbers.join(answered, question).select("run_id", "block_id", "n", "figure")
+    dated = found.where("day is not null").withColumn("place", places)
     days = evidence.where("day is not null").select("run_id", F.coalesce("scope", F.lit(EVERYWHERE)).alias("place"), "day").distinct()
     held = held.union(dated.join(days, ["run_id", "place", "day"]).select("run_id", "block_id", "n", "figure"))
     if registered is not None:
