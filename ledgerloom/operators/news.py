@@ -6,8 +6,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -18,6 +20,8 @@ from ledgerloom.operators.text import canonical_url, normalised_title
 #: Titles are alike from this ratio of matching characters on; only if published within so many hours.
 ALIKE, HOURS = 0.9, 48
 ANNOUNCEMENT = "announcement"
+#: Titles of a block, and tasks that the pairs of blocks are dealt to.
+BLOCK, TILES = 512, 32
 
 
 @F.pandas_udf(DoubleType())
@@ -26,45 +30,66 @@ def matching_ratio(later: pd.Series, earlier: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(later, earlier)], dtype=float)
 
 
-def _grams(title: Column) -> Column:
-    """A title's different runs of three characters."""
-    runs = F.transform(F.sequence(F.lit(1), F.length(title) - 2), lambda i: F.substring(title, i, F.lit(3)))
-    return F.when(F.length(title) >= 3, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
-
-
-def _shared(grams: Column, title: Column, alike: float) -> Column:
+def _shared(grams: np.ndarray, lengths: np.ndarray, alike: float) -> np.ndarray:
     """How many of its runs of three a title has in common at least with any title alike, one at least.
 
     Of both titles' characters, at most the share 1 - alike doesn't match. One of the title's own breaks three of its
     runs, one of the other's two; that is the most where the other title is as short as it may be.
     """
     broken = 2.5 * (1 - alike) * (1 + alike / (2 - alike)) + 0.5 * (1 - alike / (2 - alike))
-    return F.greatest(F.lit(1), F.size(grams) - F.floor(broken * F.length(title) + 1e-9).cast("int"))
+    return np.maximum(1, grams - np.floor(broken * lengths + 1e-9))
+
+
+def _likely(alike: float):
+    """The pairs of two blocks of titles that are near in length and have enough runs of three in common."""
+    least = alike / (2 - alike)
+
+    def counted(titles: list[str], places: dict[str, int]) -> np.ndarray:
+        out = np.zeros((len(titles), len(places)), np.float32)
+        for row, title in enumerate(titles):
+            out[row, [places[g] for g in {title[i : i + 3] for i in range(len(title) - 2)} if g in places]] = 1
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one, other, same = (batch[c][k].as_py() for c in ("one", "other", "same"))
+                runs = [[{t[i : i + 3] for i in range(len(t) - 2)} for t in side] for side in (one, other)]
+                common = set().union(*runs[0]) & set().union(*runs[1])
+                places = {g: n for n, g in enumerate(common)}
+                met = counted(one, places) @ counted(other, places).T
+                sizes = [np.array([len(g) for g in side]) for side in runs]
+                lengths = [np.array([len(t) for t in side]) for side in (one, other)]
+                held = met >= np.maximum.outer(*(_shared(n, m, alike) for n, m in zip(sizes, lengths)))
+                held &= np.minimum.outer(*lengths) >= least * np.maximum.outer(*lengths) - 1e-9
+                r, c = np.nonzero(np.triu(held, 1) if same else held)
+                pairs = [(min(a, b), max(a, b)) for a, b in ((one[i], other[j]) for i, j in zip(r, c)) if a != b]
+                yield pa.RecordBatch.from_pydict({"one": pa.array([p[0] for p in pairs], pa.string()), "other": pa.array([p[1] for p in pairs], pa.string())})
+
+    return run
 
 
 def similar_titles(titles: DataFrame, alike: float = ALIKE) -> DataFrame:
     """later, earlier: ordered pairs of different titles alike, among ``titles`` (title, period) of one period or the next.
 
-    Candidates share one of their rarest runs of three characters: as many of a title's runs, rarest first, as leave too
-    few for the rest to be enough. What is left is filtered by all common runs and by length, then matched.
+    A period's titles are dealt by length into blocks; blocks that may hold titles near in length meet, and a product of
+    matrices counts the runs of three that each title has in common with each. What has enough is matched. All pairs of
+    a period and the next are so compared: cheap, and in blocks of ``BLOCK``, but as many as the square of its titles.
     """
     if alike < 0.8:
         raise ValueError("a ratio below 0.8 leaves too few common runs to search by")
     cells = titles.where(F.length("title") >= 3).select("title", "period").distinct()
-    words = cells.select("title").distinct().withColumn("grams", _grams(F.col("title")))
-    often = words.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
-    ranked = words.select("title", F.explode("grams").alias("gram")).join(often, "gram").groupBy("title").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("ranked"))
-    rarest = F.slice("ranked", 1, F.size("ranked") - _shared(F.col("ranked"), F.col("title"), alike) + 1)
-    posted = cells.join(ranked.select("title", F.explode(F.transform(rarest, lambda r: r["gram"])).alias("gram")), "title")
-    own = posted.select("gram", "period", F.col("title").alias("one"))
-    near = posted.select("gram", F.col("title").alias("other"), F.explode(F.array(F.col("period"), F.col("period") + 1)).alias("period"))
+    turn = F.row_number().over(Window.partitionBy("period").orderBy(F.length("title"), "title"))
+    dealt = cells.withColumn("block", F.floor((turn - 1) / BLOCK))
+    blocks = cut(dealt.groupBy("period", "block").agg(F.collect_list("title").alias("titles"), F.min(F.length("title")).alias("low"), F.max(F.length("title")).alias("high")))
+    own = blocks.select("period", F.col("block").alias("a"), F.col("titles").alias("one"), F.col("low").alias("low1"), F.col("high").alias("high1"))
+    near = blocks.select(F.explode(F.array(F.col("period"), F.col("period") + 1)).alias("period"), F.col("period").alias("its"), F.col("block").alias("b"), F.col("titles").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     least = alike / (2 - alike)
-    longer, shorter = F.greatest(F.length("one"), F.length("other")), F.least(F.length("one"), F.length("other"))
-    met = own.join(near, ["gram", "period"]).where((F.col("one") != F.col("other")) & (shorter >= least * longer - 1e-9))
-    pairs = met.select(F.least("one", "other").alias("one"), F.greatest("one", "other").alias("other")).distinct()
-    held = pairs.withColumns({"a": _grams(F.col("one")), "b": _grams(F.col("other"))})
-    enough = F.greatest(_shared(F.col("a"), F.col("one"), alike), _shared(F.col("b"), F.col("other"), alike))
-    likely = held.where(F.size(F.array_intersect("a", "b")) >= enough)
+    reach = (F.col("high1") >= least * F.col("low2") - 1e-9) & (F.col("high2") >= least * F.col("low1") - 1e-9)
+    once = (F.col("its") != F.col("period")) | (F.col("a") <= F.col("b"))
+    same = (F.col("its") == F.col("period")) & (F.col("a") == F.col("b"))
+    tiles = own.join(near, "period").where(reach & once).select("one", "other", same.alias("same")).repartition(TILES)
+    likely = tiles.mapInArrow(_likely(alike), "one string, other string").distinct()
     both = likely.select(F.explode(F.array(F.struct(F.col("one").alias("later"), F.col("other").alias("earlier")), F.struct(F.col("other").alias("later"), F.col("one").alias("earlier")))).alias("p")).select("p.*")
     return both.where(matching_ratio("later", "earlier") >= alike)
 
