@@ -129,6 +129,9 @@ def unmatched(blocks: DataFrame, evidence: DataFrame, registered: DataFrame | No
     the whole number that it rounds to, figures by theirs and its neighbours, and equal keys are then compared exactly.
     Of the numbers of one key only the least and the largest are kept: they span less than a unit, which is what a
     figure's bounds are apart, so if any is within them one of the two is. A figure meets three keys at most.
+
+    Evidence and questions grow with the reports, and what files and steps promise of their sizes is far too little. They
+    are joined by sorting: a broadcast would gather them in the driver.
     """
     read = blocks.select("run_id", "block_id", F.coalesce("scope", F.lit(EVERYWHERE)).alias("scope"), "text").repartition(SPREAD, "run_id", "block_id")
     found = cut(figures(read))
@@ -137,7 +140,7 @@ def unmatched(blocks: DataFrame, evidence: DataFrame, registered: DataFrame | No
     pool = evidence.where("value is not null").select("run_id", F.coalesce("scope", F.lit(EVERYWHERE)).alias("place"), F.col("value").cast(NUMBER).alias("known")).distinct()
     # what many figures of a run ask alike is asked once, and only where there is evidence
     question = ["run_id", "place", "value", "places", "unit"]
-    asks = numbers.select(*question).distinct().join(pool.select("run_id", "place").distinct(), ["run_id", "place"], "left_semi")
+    asks = numbers.select(*question).distinct().join(pool.select("run_id", "place").distinct().hint("merge"), ["run_id", "place"], "left_semi")
     asked = asks.withColumn("times", F.explode(_multipliers(F.col("unit"))))
     levels = asked.select("run_id", "place", "places", "times").distinct()
     tens = lambda n: F.pow(F.lit(10.0), n).cast("decimal(10,0)")
@@ -146,18 +149,18 @@ def unmatched(blocks: DataFrame, evidence: DataFrame, registered: DataFrame | No
     once = lambda c: F.col(c).cast("decimal(12,2)")
     rounded = F.floor((F.col("known") * tens(F.col("places"))).cast("decimal(38,8)") / once("times") + F.lit("0.5").cast("decimal(2,1)")).cast("decimal(38,0)")
     level = ["run_id", "place", "places", "times", "key"]
-    pool = pool.join(levels, ["run_id", "place"]).withColumn("key", rounded).groupBy(*level).agg(F.min("known").alias("least"), F.max("known").alias("most"))
+    pool = pool.join(levels.hint("merge"), ["run_id", "place"]).withColumn("key", rounded).groupBy(*level).agg(F.min("known").alias("least"), F.max("known").alias("most"))
     gap = lambda known: F.abs(F.col(known).cast(EXACT) - (F.col("value") * once("times")).cast(EXACT))
     width = (F.lit("0.5").cast("decimal(2,1)") * once("times") / tens(F.col("places"))).cast(EXACT)
-    answered = asked.join(pool, level).where((gap("least") <= width) | (gap("most") <= width)).select(*question).distinct()
-    held = numbers.join(answered, question).select("run_id", "block_id", "n", "figure")
+    answered = asked.join(pool.hint("merge"), level).where((gap("least") <= width) | (gap("most") <= width)).select(*question).distinct()
+    held = numbers.join(answered.hint("merge"), question).select("run_id", "block_id", "n", "figure")
     dated = found.where("day is not null").withColumn("place", places)
     days = evidence.where("day is not null").select("run_id", F.coalesce("scope", F.lit(EVERYWHERE)).alias("place"), "day").distinct()
-    held = held.union(dated.join(days, ["run_id", "place", "day"]).select("run_id", "block_id", "n", "figure"))
+    held = held.union(dated.join(days.hint("merge"), ["run_id", "place", "day"]).select("run_id", "block_id", "n", "figure"))
     if registered is not None:
         own = registered.select("run_id", F.abs(F.col("value").cast(NUMBER)).alias("size"), "decimals", "unit").distinct()
-        held = held.union(found.withColumn("size", F.abs("value")).join(own, ["run_id", "size", "decimals", "unit"]).select("run_id", "block_id", "n", "figure"))
-    missed = found.join(held.distinct(), ["run_id", "block_id", "n", "figure"], "left_anti")
+        held = held.union(found.withColumn("size", F.abs("value")).join(own.hint("merge"), ["run_id", "size", "decimals", "unit"]).select("run_id", "block_id", "n", "figure"))
+    missed = found.join(held.distinct().hint("merge"), ["run_id", "block_id", "n", "figure"], "left_anti")
     reason = F.lit("no evidence in the run")
     if hidden is not None:
         missed = missed.join(hidden.select("run_id", F.lit(True).alias("cut")).distinct(), "run_id", "left")
