@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -11,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BinaryType, DoubleType
 
 from ledgerloom.checkpoints import cut
 from ledgerloom.operators.graph import groups
@@ -20,8 +21,10 @@ from ledgerloom.operators.text import canonical_url, normalised_title
 #: Titles are alike from this ratio of matching characters on; only if published within so many hours.
 ALIKE, HOURS = 0.9, 48
 ANNOUNCEMENT = "announcement"
-#: Titles of a block, and tasks that the pairs of blocks are dealt to.
-BLOCK, TILES = 512, 32
+#: Titles of a block, of a strip of one, pairs of blocks of a task, and tasks at least.
+BLOCK, STRIP, TILES, TASKS = 4096, 512, 4, 96
+#: Bits of a title's mark.
+BITS = 1024
 
 
 @F.pandas_udf(DoubleType())
@@ -30,6 +33,22 @@ def matching_ratio(later: pd.Series, earlier: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(later, earlier)], dtype=float)
 
 
+@F.pandas_udf(BinaryType())
+def _mark(titles: pd.Series) -> pd.Series:
+    """How many runs of three a title has, as eight bytes, and a set of bits with one for each by its hash."""
+    def mark(title: str) -> bytes:
+        runs, bits = _runs(title), 0
+        for run in runs:
+            bits |= 1 << zlib.crc32(run.encode()) % BITS
+        return len(runs).to_bytes(8, "little") + bits.to_bytes(BITS // 8, "little")
+
+    return titles.map(mark)
+
+
+def _runs(title: str) -> set[str]:
+    return {title[i : i + 3] for i in range(len(title) - 2)}
+
+
 def _shared(grams: np.ndarray, lengths: np.ndarray, alike: float) -> np.ndarray:
     """How many of its runs of three a title has in common at least with any title alike, one at least.
 
@@ -41,29 +60,44 @@ def _shared(grams: np.ndarray, lengths: np.ndarray, alike: float) -> np.ndarray:
 
 
 def _likely(alike: float):
-    """The pairs of two blocks of titles that are near in length and have enough runs of three in common."""
+    """The pairs of two blocks of titles that are near in length and have enough runs of three in common.
+
+    A bit that only one title's mark has is a run, at least, that only it has. What the marks leave is bounded by the
+    characters in common, in any order, and then counted by the runs.
+    """
     least = alike / (2 - alike)
 
-    def counted(titles: list[str], places: dict[str, int]) -> np.ndarray:
-        out = np.zeros((len(titles), len(places)), np.float32)
-        for row, title in enumerate(titles):
-            out[row, [places[g] for g in {title[i : i + 3] for i in range(len(title) - 2)} if g in places]] = 1
-        return out
+    def read(side: pa.StructArray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        titles = side.field("title").to_pylist()
+        marks = np.frombuffer(b"".join(side.field("mark").to_pylist()), "<u8").reshape(len(titles), -1)
+        grams, bits, lengths = marks[:, 0].astype(np.int32), np.ascontiguousarray(marks[:, 1:].T), np.array([len(t) for t in titles])
+        needed = _shared(grams, lengths, alike).astype(np.int32)
+        letters = np.array([np.bincount(np.frombuffer(t.encode("utf-32-le"), "<u4") % 64, minlength=64) for t in titles], np.int16)
+        return titles, bits, lengths, needed, letters, grams - np.bitwise_count(bits).sum(0, dtype=np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                one, other, same = (batch[c][k].as_py() for c in ("one", "other", "same"))
-                runs = [[{t[i : i + 3] for i in range(len(t) - 2)} for t in side] for side in (one, other)]
-                common = set().union(*runs[0]) & set().union(*runs[1])
-                places = {g: n for n, g in enumerate(common)}
-                met = counted(one, places) @ counted(other, places).T
-                sizes = [np.array([len(g) for g in side]) for side in runs]
-                lengths = [np.array([len(t) for t in side]) for side in (one, other)]
-                held = met >= np.maximum.outer(*(_shared(n, m, alike) for n, m in zip(sizes, lengths)))
-                held &= np.minimum.outer(*lengths) >= least * np.maximum.outer(*lengths) - 1e-9
-                r, c = np.nonzero(np.triu(held, 1) if same else held)
-                pairs = [(min(a, b), max(a, b)) for a, b in ((one[i], other[j]) for i, j in zip(r, c)) if a != b]
+                same = batch["same"][k].as_py()
+                (one, bits1, length1, needed1, letters1, spare1), (other, bits2, length2, needed2, letters2, spare2) = (read(batch[c][k].values) for c in ("one", "other"))
+                pairs = []
+                for i in range(0, len(one), STRIP):
+                    for j in range(i if same else 0, len(other), STRIP):
+                        a, b = slice(i, i + STRIP), slice(j, j + STRIP)
+                        met = np.zeros((len(length1[a]), len(length2[b])), np.int16)
+                        for x, y in zip(bits1[:, a], bits2[:, b]):
+                            met += np.bitwise_count(np.bitwise_and.outer(x, y))
+                        enough = np.maximum.outer(needed1[a], needed2[b])
+                        held = met + np.minimum.outer(spare1[a], spare2[b]) >= enough
+                        held &= np.minimum.outer(length1[a], length2[b]) >= least * np.maximum.outer(length1[a], length2[b]) - 1e-9
+                        r, c = np.nonzero(np.triu(held, 1) if same and i == j else held)
+                        matched = np.minimum(letters1[a][r], letters2[b][c]).sum(1, dtype=np.int32)
+                        left = 2 * matched >= alike * (length1[a][r] + length2[b][c]) - 1e-9
+                        r, c = r[left], c[left]
+                        for x, y, n in zip(r, c, enough[r, c]):
+                            p, q = one[i + x], other[j + y]
+                            if p != q and len(_runs(p) & _runs(q)) >= n:
+                                pairs.append((min(p, q), max(p, q)))
                 yield pa.RecordBatch.from_pydict({"one": pa.array([p[0] for p in pairs], pa.string()), "other": pa.array([p[1] for p in pairs], pa.string())})
 
     return run
@@ -72,24 +106,26 @@ def _likely(alike: float):
 def similar_titles(titles: DataFrame, alike: float = ALIKE) -> DataFrame:
     """later, earlier: ordered pairs of different titles alike, among ``titles`` (title, period) of one period or the next.
 
-    A period's titles are dealt by length into blocks; blocks that may hold titles near in length meet, and a product of
-    matrices counts the runs of three that each title has in common with each. What has enough is matched. All pairs of
-    a period and the next are so compared: cheap, and in blocks of ``BLOCK``, but as many as the square of its titles.
+    A period's titles are dealt by length into blocks; blocks that may hold titles near in length meet, and the bits that
+    marks share bound the runs of three that each title has in common with each. What has enough is matched. All pairs of
+    a period and the next are so compared: cheap, and in strips of blocks, but as many as the square of its titles.
     """
     if alike < 0.8:
         raise ValueError("a ratio below 0.8 leaves too few common runs to search by")
-    cells = titles.where(F.length("title") >= 3).select("title", "period").distinct()
+    cells = titles.where(F.length("title") >= 3).select("title", "period").distinct().withColumn("mark", _mark("title"))
     turn = F.row_number().over(Window.partitionBy("period").orderBy(F.length("title"), "title"))
     dealt = cells.withColumn("block", F.floor((turn - 1) / BLOCK))
-    blocks = cut(dealt.groupBy("period", "block").agg(F.collect_list("title").alias("titles"), F.min(F.length("title")).alias("low"), F.max(F.length("title")).alias("high")))
+    blocks = cut(dealt.groupBy("period", "block").agg(F.collect_list(F.struct("title", "mark")).alias("titles"), F.min(F.length("title")).alias("low"), F.max(F.length("title")).alias("high")))
     own = blocks.select("period", F.col("block").alias("a"), F.col("titles").alias("one"), F.col("low").alias("low1"), F.col("high").alias("high1"))
     near = blocks.select(F.explode(F.array(F.col("period"), F.col("period") + 1)).alias("period"), F.col("period").alias("its"), F.col("block").alias("b"), F.col("titles").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     least = alike / (2 - alike)
     reach = (F.col("high1") >= least * F.col("low2") - 1e-9) & (F.col("high2") >= least * F.col("low1") - 1e-9)
     once = (F.col("its") != F.col("period")) | (F.col("a") <= F.col("b"))
     same = (F.col("its") == F.col("period")) & (F.col("a") == F.col("b"))
-    tiles = own.join(near, "period").where(reach & once).select("one", "other", same.alias("same")).repartition(TILES)
-    likely = tiles.mapInArrow(_likely(alike), "one string, other string").distinct()
+    met = own.join(near, "period").where(reach & once).select("one", "other", same.alias("same"))
+    # a task's pairs of blocks are read together, so there are few
+    tiles = met.repartition(max(TASKS, met.count() // TILES))
+    likely = tiles.mapInArrow(_likely(alike), "one string, other string").distinct().repartition(TASKS)
     both = likely.select(F.explode(F.array(F.struct(F.col("one").alias("later"), F.col("other").alias("earlier")), F.struct(F.col("other").alias("later"), F.col("one").alias("earlier")))).alias("p")).select("p.*")
     return both.where(matching_ratio("later", "earlier") >= alike)
 
